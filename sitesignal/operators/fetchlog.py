@@ -24,8 +24,10 @@ def fetch_outcome(log: DataFrame) -> DataFrame:
 def retry_after_seconds(value: Column, now: Column) -> Column:
     """Seconds asked for by a Retry-After value: whole seconds or an HTTP date; null when unreadable."""
     v = strip_blanks(value)
-    date = F.regexp_extract(v, r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})(?: GMT| UTC| \+0000| -0000)?$", 1)
-    when = F.try_to_timestamp(date, F.lit("d MMM yyyy HH:mm:ss"))
+    shape = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})(?:\s+(GMT|UTC|[+\-]\d{4}))?$"
+    date, zone = F.regexp_extract(v, shape, 1), F.regexp_extract(v, shape, 2)
+    offset = F.when(zone.rlike(r"^[+\-]\d{4}$") & (zone != "-0000"), zone).otherwise(F.lit("+0000"))
+    when = F.try_to_timestamp(F.concat(date, F.lit(" "), offset), F.lit("d MMM yyyy HH:mm:ss Z"))
     wait = (F.unix_micros(when) - F.unix_micros(now)) / 1e6
     return F.when(v.rlike(r"^\d+$"), v.try_cast("double")).when(date != "", F.greatest(F.lit(0.0), wait))
 
