@@ -314,7 +314,7 @@ ORACLE = {
     "sitemap_walk": _with_walk(WALK_LIMITS["max_files"], WALK_LIMITS["max_pages"], "SELECT site, url, file_no, pos FROM walked"),
     "sitemap_pages": _with_walk(50, 20000, "SELECT DISTINCT site, url FROM walked"),
     "usable_captures": using("sp", """SELECT page_id, CAST(status = 200 AS INTEGER) AS usable,
-        CASE WHEN status = 200 THEN length(html) + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END END AS n_chars FROM sp"""),
+        CASE WHEN status = 200 THEN length(html) + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END ELSE 0 END AS n_chars FROM sp"""),
     "page_text": "WITH sp AS (SELECT page_id, '' AS host, '' AS site, url, 200 AS status, html FROM pages), markup AS (" + CTES["markup"]
         + "), texts AS (" + CTES["texts"] + ") SELECT page_id, md5(text) AS text_md5, length(text) AS n_chars FROM texts",
     "page_links": """SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, href, 0 AS in_footer FROM (SELECT page_id, unnest(hs) AS href, generate_subscripts(hs, 1) AS i FROM (
@@ -391,7 +391,7 @@ ORACLE = {
     "history_lines": using("hist", "SELECT epoch(hour)::BIGINT AS at, total, email_found FROM hist WHERE hour(hour) % 5 <> 3 ORDER BY hour DESC LIMIT 20"),
     "target_lines": """SELECT CASE doc_id % 5 WHEN 2 THEN 'shop' || doc_id || '.io' WHEN 3 THEN 'https://site' || doc_id || '.org/a' ELSE source || '.com' END AS input_url
         FROM documents WHERE doc_id % 5 > 1""",
-    "fetch_outcome": using("log", """SELECT url, attempt, status, CASE WHEN status = 200 THEN 'ok' WHEN (status IS NULL OR status IN (429, 500, 502, 503, 504)) AND attempt < 2
+    "fetch_outcome": using("log", """SELECT url, attempt, coalesce(status, 0) AS status, CASE WHEN status = 200 THEN 'ok' WHEN (status IS NULL OR status IN (429, 500, 502, 503, 504)) AND attempt < 2
         THEN 'retryable' ELSE 'failed' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY attempt DESC) AS n FROM log) WHERE n = 1"""),
     "retry_after": using("log", """SELECT event_id, seconds, least(15.0::DOUBLE, seconds) AS capped FROM (SELECT event_id, round(CASE WHEN regexp_matches(trim(retry_after), '^[0-9]+$')
         THEN CAST(trim(retry_after) AS DOUBLE) WHEN retry_after LIKE 'Wed%' THEN greatest(0.0, (epoch_us(TIMESTAMP '2024-01-03 10:00:00') - us) / 1e6) END, 3) AS seconds

@@ -179,7 +179,7 @@ def usable_captures(spark: SparkSession, d: str) -> DataFrame:
     raw = I.site_pages(spark, d).select(
         "page_id", "url", "status", F.expr("CASE WHEN page_id % 5 = 0 THEN cast(html AS binary) || X'FF' ELSE cast(html AS binary) END").alias("body"))
     usable = usable_text(decoded_captures(raw))
-    return usable.select("page_id", flag("usable").alias("usable"), F.length("text").cast("bigint").alias("n_chars"))
+    return usable.select("page_id", flag("usable").alias("usable"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
@@ -485,7 +485,7 @@ def job_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def fetch_outcome(spark: SparkSession, d: str) -> DataFrame:
     out = H.fetch_outcome(I.fetch_log(spark, d))
-    return out.select("url", "attempt", "status", "outcome")
+    return out.select("url", "attempt", F.coalesce("status", F.lit(0)).alias("status"), "outcome")
 
 
 def retry_after(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ NO_STRINGS = "array<string>"
 
 
 def empty_strings() -> Column:
-    return F.array().cast(NO_STRINGS)
+    return F.expr(f"cast(array() as {NO_STRINGS})")
 
 
 def _all_matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -122,7 +122,7 @@ def is_valid_email(
         & (domain != "")
         & ~trimmed.rlike(fv.RETINA_SUFFIX_PATTERN)
         & ~domain.rlike(_bad_domain_pattern(blocked_domains))
-        & ~F.lower(local).isin(list(blocked_locals))
+        & ~F.array_contains(word_array(blocked_locals), F.lower(local))
         & ~local.rlike(fv.ESCAPED_LOCAL_PART_PATTERN)
     )
 
@@ -176,7 +176,7 @@ def email_role(email: Column | str) -> Column:
     )
     single = F.element_at(parts, 1)
     first_name = (
-        (F.size(parts) == 1) & single.rlike(r"^\p{L}{2,20}\z") & ~single.isin(fv.SYSTEM_LOCAL_PARTS)
+        (F.size(parts) == 1) & single.rlike(r"^\p{L}{2,20}\z") & ~F.array_contains(word_array(fv.SYSTEM_LOCAL_PARTS), single)
     )
     return role.when(full_name, "personal").when(first_name, "personal").otherwise("other")
 

@@ -18,7 +18,9 @@ def strip_blanks(c: Column | str) -> Column:
 
 
 def word_array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """Constant array; parsed in one call, since a call per word would slow plan building."""
+    quoted = ("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"cast(array({', '.join(quoted)}) as array<string>)")
 
 
 def netloc(url: Column | str) -> Column:
@@ -52,12 +54,11 @@ def brand_label(domain: Column | str) -> Column:
 
 def url_path(url: Column | str) -> Column:
     """Path without parameters of the last segment, query and fragment."""
-    rest = F.regexp_extract(
-        F.regexp_replace(col_of(url), r"[\t\r\n]", ""),
-        r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)",
-        1,
-    )
-    return F.regexp_replace(rest, r";[^/]*$", "")
+    clean = col_of(url)
+    for blank in ("\t", "\r", "\n"):
+        clean = F.replace(clean, F.lit(blank), F.lit(""))
+    return F.regexp_extract(
+        clean, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?((?:[^?#]*/)?[^/?#;]*)", 1)
 
 
 def path_segments(path: Column | str) -> Column:

@@ -31,9 +31,10 @@ def score_contact_urls(urls: DataFrame, url: str = "url", keywords=fv.CONTACT_KE
         .filter(F.col("_path").rlike(any_word))
         .withColumn("_segments", path_segments("_path"))
         .withColumn("_tokens", path_tokens("_segments"))
-        .withColumn("score", score_expr(F.col("_segments"), F.col("_tokens"), F.col("_path"),
-                                        keywords, hard, primary, negative))
-        .filter(F.col("score").isNotNull())
+        # unfolding zero or one score drops rejected rows without a filter, which
+        # the optimizer would push down as a second copy of the whole expression
+        .withColumn("score", F.explode(F.array_compact(F.array(score_expr(
+            F.col("_segments"), F.col("_tokens"), F.col("_path"), keywords, hard, primary, negative)))))
         .drop("_path", "_segments", "_tokens")
     )
 

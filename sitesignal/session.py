@@ -13,6 +13,8 @@ RECOMMENDED = {
     # split a skewed join side even when the split costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # plans here have many columns; recording a call site for each one costs more than building it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # pages vary from bytes to megabytes, so batches are small in rows and bounded in bytes
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
