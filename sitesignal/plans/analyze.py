@@ -279,7 +279,7 @@ def analyze(targets: DataFrame, captures: DataFrame, robots: DataFrame | None =
     )
     if use_rendered:
         state = stage(state, "state")
-        poor = fold_rendered(state.filter(F.size("emails") == 0), "site", captures, **options)
+        poor = fold_rendered(state.filter(F.size("emails") == 0), "base_url", captures, **options)
         state = state.filter(F.size("emails") > 0).unionByName(poor)
     if mx is not None:
         state = stage(state, "before-mx")
