@@ -159,7 +159,7 @@ PROTECTED_LINK_PATTERN = r"/cdn-cgi/l/email-protection#([a-fA-F0-9]+)"
 
 TEL_LINK_PATTERN = r"""(?i)href=["']tel:([^"']+)["']"""
 INTERNATIONAL_PHONE_PATTERN = (
-    r"(?U)(?<![\w/.])\+\d{1,3}[\s.\-]?\(?\d{1,4}\)?(?:[\s.\-]?\d{2,4}){2,4}(?![\d])"
+    r"(?U)(?=\+)(?<![\w/.])\+\d{1,3}[\s.\-]?\(?\d{1,4}\)?(?:[\s.\-]?\d{2,4}){2,4}(?![\d])"
 )
 
 WHATSAPP_PATTERN = (

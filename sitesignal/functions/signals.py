@@ -17,7 +17,7 @@ def tel_links(html: Column | str) -> Column:
     found = F.transform(
         _all_matches(c, fv.TEL_LINK_PATTERN, 1), lambda t: strip_blanks(F.substring_index(t, "?", 1))
     )
-    return F.filter(found, lambda t: t != "")
+    return F.when(F.lower(c).contains("tel:"), F.filter(found, lambda t: t != "")).otherwise(empty_strings())
 
 
 def international_phones(text: Column | str) -> Column:
@@ -27,12 +27,15 @@ def international_phones(text: Column | str) -> Column:
 
 
 def whatsapp_links(html: Column | str) -> Column:
-    return F.array_sort(F.array_distinct(_all_matches(col_of(html), fv.WHATSAPP_PATTERN)))
+    links = F.array_sort(F.array_distinct(_all_matches(col_of(html), fv.WHATSAPP_PATTERN)))
+    low = F.lower(col_of(html))
+    return F.when(low.contains("wa.me/") | low.contains("whatsapp.com/send?"), links).otherwise(empty_strings())
 
 
 def social_profiles(hrefs: Column | str) -> Column:
     """Company or personal profile links; share buttons and pixels are no profiles."""
-    stripped = F.transform(col_of(hrefs), strip_blanks)
+    named = F.filter(col_of(hrefs), lambda h: h.rlike(r"(?i)facebook|instagram|linkedin|twitter|x\.com"))
+    stripped = F.transform(named, strip_blanks)
 
     def is_profile(h: Column) -> Column:
         shapes = reduce(lambda x, y: x | y, [h.rlike(p) for p in fv.SOCIAL_PROFILE_PATTERNS])
@@ -43,15 +46,19 @@ def social_profiles(hrefs: Column | str) -> Column:
 
 def block_vendor(html: Column | str, signatures=fv.BLOCK_SIGNATURES) -> Column:
     """Name of the vendor whose challenge page this is, else ''. Labelling only."""
-    lowered = F.lower(col_of(html))
-    chain = None
-    for vendor, rules in signatures:
-        any_rule = reduce(
-            lambda x, y: x | y,
-            [reduce(lambda x, y: x & y, [lowered.contains(m) for m in rule]) for rule in rules],
-        )
-        chain = F.when(any_rule, vendor) if chain is None else chain.when(any_rule, vendor)
-    return chain.otherwise("")
+
+    def first_vendor(lowered: Column) -> Column:
+        chain = None
+        for vendor, rules in signatures:
+            any_rule = reduce(
+                lambda x, y: x | y,
+                [reduce(lambda x, y: x & y, [lowered.contains(m) for m in rule]) for rule in rules],
+            )
+            chain = F.when(any_rule, vendor) if chain is None else chain.when(any_rule, vendor)
+        return chain.otherwise("")
+
+    # bound as a lambda variable, the page is lower-cased once and not once per marker
+    return F.get(F.transform(F.array(F.lower(col_of(html))), first_vendor), F.lit(0))
 
 
 def has_contact_form(forms: Column | str) -> Column:

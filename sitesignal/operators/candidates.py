@@ -20,12 +20,10 @@ def score_contact_urls(urls: DataFrame, url: str = "url", keywords=fv.CONTACT_KE
                        negative=fv.NEGATIVE_PATH_WORDS) -> DataFrame:
     """Adds ``score``; rows that are no contact candidates are dropped.
 
-    A keyword that is a token is also a substring of the path, so one pattern
-    discards almost all URLs before any array is built.
+    A keyword that is a token stands between slashes, hyphens or ends of the
+    path, so one pattern discards almost all URLs before any array is built.
     """
-    # a keyword that contains another one adds nothing to the pattern
-    needed = [w for w in keywords if not any(o != w and o in w for o in keywords)]
-    any_word = "|".join(re.escape(w) for w in needed)
+    any_word = "(?:^|[/-])(?:" + "|".join(re.escape(w) for w in keywords) + ")(?:[/-]|$)"
     return (
         urls.withColumn("_path", F.lower(url_path(url)))
         .filter(F.col("_path").rlike(any_word))
