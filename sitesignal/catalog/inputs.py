@@ -83,9 +83,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(page_id, host, site, url, status, html)``."""
-    pages = table(spark, sf_dir, "pages")
+def site_pages(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    """``(page_id, host, site, url, status, html)``; ``pages`` may be a stream of the table."""
+    pages = table(spark, sf_dir, "pages") if pages is None else pages
     hosted = pages.select(
         "page_id", "html", F.expr(HOST_SQL).alias("host"), F.expr(TAIL_SQL).alias("tail"), F.expr(STATUS_SQL).alias("status"))
     return hosted.select(

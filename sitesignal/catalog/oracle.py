@@ -420,4 +420,43 @@ def _obfuscated_oracle() -> str:
     return f"SELECT doc_id, {joined(f'list_distinct({loose})')} AS loose, {joined(f'list_distinct({strict})')} AS strict FROM {text}"
 
 
+def _site_analysis() -> str:
+    """The whole job over the same inputs: listed pages or homepage and footer link, newest captures, rollup, rows."""
+    contact = f"site || {I.CONTACT_PATH_SQL}"
+    step = lambda name: CTES[name].replace("FROM sp", "FROM captured")
+    parts = {
+        "sp": CTES["sp"],
+        "home": f"""SELECT page_id, host, site, status, replace(html, '<footer>', '<footer><a href="' || CASE WHEN page_id % 2 = 0 THEN {contact}
+            ELSE '/team/' || page_id END || '">More</a>') AS html FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS n FROM sp) WHERE n = 1""",
+        "captured": f"""SELECT page_id, host, site, url, status, html FROM (
+            SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS n FROM (SELECT page_id, host, site, {contact} AS url, status, html FROM sp))
+            WHERE n = 1 UNION ALL SELECT page_id, host, site, site, status, html FROM home""",
+        "markup": step("markup"), "texts": step("texts"), "found": step("found"),
+        "sig": CTES["sig"].replace(valid("e"), valid("e", fv.BLOCKED_DOMAINS)),
+        "listed": f"""SELECT site, url, min(c) AS c FROM (SELECT site, c, {contact} AS url FROM (
+            SELECT site, page_id % 3 AS c, min(page_id) AS page_id FROM sp WHERE length(host) % 2 = 0 GROUP BY ALL)) GROUP BY site, url""",
+        "ranked": f"""SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY score DESC, c) AS rank FROM (
+            SELECT site, url, c, {score(path_of('lower(url)'))} AS score FROM listed) WHERE score IS NOT NULL""",
+        "plan": f"""SELECT site, url, rank FROM ranked UNION ALL SELECT site, site, 1 FROM home WHERE status = 200 AND site NOT IN (SELECT site FROM ranked)
+            UNION ALL SELECT site, {contact}, 2 FROM home WHERE status = 200 AND page_id % 2 = 0 AND site NOT IN (SELECT site FROM ranked)""",
+        "checked": "SELECT s.* REPLACE (p.rank AS page_id) FROM plan p JOIN sig s ON s.url = p.url",
+        "roll": CTES["roll"].replace("FROM sig", "FROM checked"),
+        "res": f"""SELECT h.site, regexp_replace(h.host, '^www[.]', '') AS host, coalesce(emails, []) AS emails, coalesce(mailto, []) AS mailto,
+            coalesce(phones, []) AS phones, coalesce(whatsapp, []) AS whatsapp, coalesce(social, []) AS social, coalesce(source_pages, []) AS source_pages,
+            CASE WHEN r.site IS NULL THEN 'none' WHEN h.site IN (SELECT site FROM ranked) THEN 'sitemap' ELSE 'homepage-fallback' END AS method,
+            CASE WHEN r.site IS NULL THEN {q(fv.ERROR_NO_PAGES)} WHEN len(emails) > 0 THEN '' WHEN ok = 0
+              THEN 'pages failed to fetch (0 of ' || failed || ' candidate page(s) returned a response — not a genuine "no email" result)'
+              ELSE {q(fv.ERROR_NO_EMAILS)} END AS error, coalesce(len(emails) = 0 AND ok = 0, false) AS fetch_failed,
+            CASE WHEN r.site IS NULL THEN {vendor('h.html')} ELSE r.blocked_by END AS blocked_by, coalesce(form, false) AS form,
+            coalesce(page_title, '') AS page_title, coalesce(meta_description, '') AS meta_description, coalesce(og_title, '') AS og_title
+            FROM home h LEFT JOIN roll r ON r.site = h.site""",
+        "res_open": CTES["res_open"], "addr": CTES["addr"], "placed": CTES["placed"], "lists": CTES["lists"],
+    }
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in parts.items()) + f"""
+      SELECT t.input_url, f.* EXCLUDE (input_url) FROM (SELECT DISTINCT site, CASE WHEN page_id % 2 = 0 THEN host ELSE site || '/x' END AS input_url FROM sp) t
+      JOIN ({FLAT}) f ON f.input_url = t.site"""
+
+
 ORACLE["obfuscated_emails"] = _obfuscated_oracle()
+ORACLE["site_analysis"] = _site_analysis()
+ORACLE["streamed_emails"] = ORACLE["page_emails"]

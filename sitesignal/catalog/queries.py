@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,10 @@ from sitesignal.operators import sitemaps as M
 from sitesignal.operators import skew
 from sitesignal.operators.extraction import hrefs, page_signals
 from sitesignal.plans.analyze import analyze, apply_rendered_pass
-from sitesignal.session import spread, stage
+from sitesignal.session import spread, stage, stage_dir
 from sitesignal.sources.sinks import job_key
 from sitesignal.sources.tables import decoded_captures, last_summaries, targets_of_lines, usable_text
-from sitesignal.streaming.streams import hit_rate_windows, stream_retry_queue
+from sitesignal.streaming.streams import hit_rate_windows, stream_extract, stream_retry_queue
 
 # the given addresses all sit under example.*, so queries about them allow those names
 OPEN_DOMAINS = [d for d in fv.BLOCKED_DOMAINS if not d.startswith("example.")]
@@ -526,6 +528,27 @@ def hit_rate_by_window(spark: SparkSession, d: str) -> DataFrame:
     return hit_rate_windows(events).select(F.unix_seconds("window_start").alias("window_start"), "done", "with_email", "errors")
 
 
+# ---- streams --------------------------------------------------------------------------------------------------
+
+
+def _run_stream(spark: SparkSession, query: DataFrame, schema) -> DataFrame:
+    """Run a stream over all available rows into a staged folder and read the folder."""
+    path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = query.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+def streamed_emails(spark: SparkSession, d: str) -> DataFrame:
+    """The page addresses again, extracted from a stream of the pages."""
+    schema = I.table(spark, d, "pages").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    captures = I.site_pages(spark, d, source).withColumn("fetched_at", F.timestamp_seconds("page_id"))
+    found = stream_extract(captures, blocked_domains=OPEN_DOMAINS).select(
+        F.unix_seconds("fetched_at").alias("page_id"), F.explode("emails").alias("email"))
+    return _run_stream(spark, found, "page_id bigint, email string")
+
+
 # ---- whole job -------------------------------------------------------------------------------------------------
 
 
@@ -571,5 +594,5 @@ QUERIES = {f.__name__: f for f in [
     merged_passes, empty_status, salvage, result_rows, categories, batch_summary, retry_list, retry_queue, low_quality,
     second_pass_list, run_counters, latest_per_target, resume_remaining, hit_rate_trend, history_lines, target_lines,
     job_keys, fetch_outcome, retry_after, backoff_audit, politeness_audit, crawl_schedule, hit_rate_by_window,
-    site_analysis, rendered_pass,
+    streamed_emails, site_analysis, rendered_pass,
 ]}

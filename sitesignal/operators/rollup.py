@@ -23,7 +23,7 @@ def _union(c: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
 
 
-def rollup_site(pages: DataFrame, keys: list[str], salts: int = 16, metadata: str = "block") -> DataFrame:
+def rollup_site(pages: DataFrame, keys: list[str], salts: int = 256, metadata: str = "block") -> DataFrame:
     """One row per key from its page signals.
 
     ``pages`` holds ``url, rank, fetched`` and the signal columns. Sets are
