@@ -13,10 +13,12 @@ def keyed(captures: DataFrame, pass_name: str = "static") -> DataFrame:
     """Captures of one pass as ``(key, site, html, status, fetched_at)``."""
     if "pass" in captures.columns:
         captures = captures.filter(F.col("pass") == pass_name)
-    captures = spread(captures)
+    # a table bucketed by key keeps its own key column and layout
+    bucketed = "key" in captures.columns
+    captures = captures if bucketed else spread(captures)
     at = F.col("fetched_at").cast("timestamp") if "fetched_at" in captures.columns else F.lit(None).cast("timestamp")
     return captures.select(
-        capture_key("url").alias("key"), site_of("url").alias("site"), "html", F.col("status").cast("int").alias("status"),
+        F.col("key") if bucketed else capture_key("url").alias("key"), site_of("url").alias("site"), "html", F.col("status").cast("int").alias("status"),
         F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("fetched_at"),
     )
 
@@ -28,7 +30,7 @@ def latest_matching(captures: DataFrame, wanted: DataFrame) -> DataFrame:
     is found on the two narrow columns alone; page bodies are then read once
     and, when the keys fit the broadcast bound, never shuffled.
     """
-    small = fits_broadcast(wanted)
+    small = fits_broadcast(wanted, "key")
     hint = F.broadcast if small else (lambda df: df)
     keys = wanted.select("key").distinct()
     # one row per wanted key, so it is no larger than `wanted` plus a time

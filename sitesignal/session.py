@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even when the split costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # lets a table bucketed by URL key join on (key, time) without a shuffle
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     # plans here have many columns; recording a call site for each one costs more than building it
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -21,6 +24,7 @@ RECOMMENDED = {
 }
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_OVERHEAD_BYTES = 64
 
 
 def build_session(app: str = "sitesignal", master: str | None = None, **settings: str) -> SparkSession:
@@ -35,10 +39,12 @@ def build_session(app: str = "sitesignal", master: str | None = None, **settings
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="sitesignal-stage-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -59,9 +65,16 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def fits_broadcast(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a staged table's planned size, from its files, is within the bound."""
-    return _estimated_bytes(staged) <= limit
+def fits_broadcast(staged: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of a staged table's column, once in memory, are within the bound.
+
+    The files' size rules out large tables; what passes is measured, since
+    files are compressed.
+    """
+    if _estimated_bytes(staged) > limit:
+        return False
+    size = staged.agg(F.sum(F.octet_length(column) + F.lit(ROW_OVERHEAD_BYTES)).alias("n")).first()["n"] or 0
+    return size <= limit
 
 
 def spread(scan: DataFrame, bytes_per_core: int = 4 * 1024 * 1024) -> DataFrame:
