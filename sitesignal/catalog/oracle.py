@@ -6,6 +6,8 @@ shares only the derived inputs and the fixed values with the Spark code.
 
 from __future__ import annotations
 
+import re
+
 from sitesignal import fixed_values as fv
 from sitesignal.catalog import inputs as I
 from sitesignal.catalog.queries import OPEN_DOMAINS, WALK_LIMITS
@@ -420,11 +422,21 @@ def _obfuscated_oracle() -> str:
     return f"SELECT doc_id, {joined(f'list_distinct({loose})')} AS loose, {joined(f'list_distinct({strict})')} AS strict FROM {text}"
 
 
-def _site_analysis() -> str:
-    """The whole job over the same inputs: listed pages or homepage and footer link, newest captures, rollup, rows."""
-    contact = f"site || {I.CONTACT_PATH_SQL}"
+CONTACT = f"site || {I.CONTACT_PATH_SQL}"
+TARGETS = "SELECT DISTINCT site, CASE WHEN page_id % 2 = 0 THEN host ELSE site || '/x' END AS input_url FROM sp"
+
+
+def _named(parts: dict[str, str]) -> str:
+    """Flat rows of ``res_open`` and ``lists`` under the names of the targets."""
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in parts.items()) + f"""
+      SELECT t.input_url, f.* EXCLUDE (input_url) FROM ({TARGETS}) t JOIN ({FLAT}) f ON f.input_url = t.site"""
+
+
+def _job_steps() -> dict[str, str]:
+    """The whole job over the same inputs: listed pages or homepage and footer link, newest captures, rollup."""
+    contact = CONTACT
     step = lambda name: CTES[name].replace("FROM sp", "FROM captured")
-    parts = {
+    return {
         "sp": CTES["sp"],
         "home": f"""SELECT page_id, host, site, status, replace(html, '<footer>', '<footer><a href="' || CASE WHEN page_id % 2 = 0 THEN {contact}
             ELSE '/team/' || page_id END || '">More</a>') AS html FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS n FROM sp) WHERE n = 1""",
@@ -450,13 +462,43 @@ def _site_analysis() -> str:
             CASE WHEN r.site IS NULL THEN {vendor('h.html')} ELSE r.blocked_by END AS blocked_by, coalesce(form, false) AS form,
             coalesce(page_title, '') AS page_title, coalesce(meta_description, '') AS meta_description, coalesce(og_title, '') AS og_title
             FROM home h LEFT JOIN roll r ON r.site = h.site""",
-        "res_open": CTES["res_open"], "addr": CTES["addr"], "placed": CTES["placed"], "lists": CTES["lists"],
     }
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in parts.items()) + f"""
-      SELECT t.input_url, f.* EXCLUDE (input_url) FROM (SELECT DISTINCT site, CASE WHEN page_id % 2 = 0 THEN host ELSE site || '/x' END AS input_url FROM sp) t
-      JOIN ({FLAT}) f ON f.input_url = t.site"""
+
+
+RESULT_STEPS = {name: CTES[name] for name in ("res_open", "addr", "placed", "lists")}
+
+
+def _rendered_pass() -> str:
+    """Weak and empty results of the job, looked at again in the rendered captures of the same pages."""
+    later = lambda text: re.sub(r"FROM (markup|texts|found|sig)\b", r"FROM \1_later", text)
+    parts = _job_steps()
+    parts["res_before"] = parts.pop("res")
+    for name in ("res_open", "addr", "placed"):
+        parts[name + "_before"] = re.sub(r"FROM (res|addr)\b", r"FROM \1_before", CTES[name])
+    parts["cat"] = CTES["cat"].replace("FROM res_open", "FROM res_open_before")
+    parts["chosen"] = """SELECT * FROM res_open_before WHERE site IN (SELECT site FROM cat WHERE category = 'genuine_no_result') OR site IN (
+        SELECT site FROM placed_before GROUP BY site HAVING NOT bool_or(is_own) OR max(CASE WHEN is_own AND n = 1 THEN role END) = 'other')"""
+    parts["shown"] = f"""SELECT page_id, host, site, url, 200 AS status, html || '<p>rendered@' || host || '</p>' AS html FROM (
+        SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS n FROM (
+          SELECT page_id, host, site, {CONTACT} AS url, html FROM sp WHERE page_id % 3 = 0)) WHERE n = 1"""
+    parts["markup_later"] = CTES["markup"].replace("FROM sp", "FROM shown")
+    for name in ("texts", "found", "sig"):
+        parts[name + "_later"] = later(CTES[name]).replace(valid("e"), valid("e", fv.BLOCKED_DOMAINS))
+    parts["looked"] = "SELECT s.* REPLACE (p.rank AS page_id) FROM plan p JOIN sig_later s ON s.url = p.url"
+    parts["again"] = CTES["roll"].replace("FROM sig", "FROM looked")
+    both = lambda c: f"list_sort(list_distinct(list_concat(c.{c}, coalesce(a.{c}, []))))"
+    text = lambda c: f"coalesce(nullif(c.{c}, ''), a.{c}, '')"
+    some = f"len({both('emails')}) > 0"
+    parts["res"] = f"""SELECT c.site, c.host, {both('emails')} AS emails, {both('mailto')} AS mailto, {both('source_pages')} AS source_pages,
+        CASE WHEN {some} THEN c.phones ELSE {both('phones')} END AS phones, CASE WHEN {some} THEN c.whatsapp ELSE {both('whatsapp')} END AS whatsapp,
+        CASE WHEN {some} THEN c.social ELSE {both('social')} END AS social, c.method || CASE WHEN {some} THEN '+playwright' ELSE '' END AS method,
+        CASE WHEN {some} THEN '' WHEN a.site IS NOT NULL THEN {q(fv.ERROR_NO_EMAILS_RENDERED)} ELSE c.error END AS error,
+        {text('blocked_by')} AS blocked_by, c.form OR coalesce(a.form, false) AS form, {text('page_title')} AS page_title,
+        {text('meta_description')} AS meta_description, {text('og_title')} AS og_title FROM chosen c LEFT JOIN again a ON a.site = c.site"""
+    return _named({**parts, **RESULT_STEPS, "res_open": "SELECT * FROM res"})
 
 
 ORACLE["obfuscated_emails"] = _obfuscated_oracle()
-ORACLE["site_analysis"] = _site_analysis()
+ORACLE["site_analysis"] = _named({**_job_steps(), **RESULT_STEPS})
+ORACLE["rendered_pass"] = _rendered_pass()
 ORACLE["streamed_emails"] = ORACLE["page_emails"]
