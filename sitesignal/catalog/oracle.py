@@ -113,6 +113,13 @@ def joined(c: str, sep: str = " ") -> str:
 
 
 PROFILE = r"^https?://(www\.)?(facebook\.com/[A-Za-z0-9_.\-]+|instagram\.com/[A-Za-z0-9_.\-]+|linkedin\.com/(company|in)/[A-Za-z0-9_.\-]+|(twitter|x)\.com/[A-Za-z0-9_]+)/?(\?[^\"'<>\s]*)?$"
+# a named reference is read without its semicolon too, when no letter or digit follows
+CLOSED = "regexp_replace({x}, '&(amp|quot|lt|gt|copy|middot)([^;a-zA-Z0-9]|$)', '&\\1;\\2', 'g')"
+TITLE = "trim(regexp_extract(html, '<title>(.*?)</title>', 1))"
+TITLE = CLOSED.format(x=TITLE)
+for _ref, _char in (("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    TITLE = f"replace({TITLE}, '{_ref}', '{_char}')"
+
 PHONE = r"\+\d{1,3}[\s.\-]?\(?\d{1,4}\)?(?:[\s.\-]?\d{2,4}){2,4}"
 
 
@@ -140,9 +147,9 @@ CTES = {
       SELECT site || '/sitemap.xml', ['https://maps.sample.net/' || min(page_id) || '.xml', 'https://maps.sample.net/' || max(page_id) || '.xml'], []::VARCHAR[]
       FROM sp GROUP BY site""",
     "markup": "SELECT *, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS bare FROM sp",
-    "texts": """SELECT page_id, host, site, url, status, html, bare, array_to_string(list_filter(list_transform(string_split(
+    "texts": f"""SELECT page_id, host, site, url, status, html, bare, array_to_string(list_filter(list_transform(string_split(
         regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', chr(1), 'gs'), '<!--.*?-->', chr(1), 'gs'), '<[^>]*>', chr(1), 'g'), chr(1)),
-        lambda x: trim(replace(replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'),
+        lambda x: trim(replace(replace(replace(replace(replace(replace(replace({CLOSED.format(x='x')}, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'),
           '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), ' ') AS text
       FROM markup""",
     "found": f"""SELECT *, CASE WHEN status <> 200 THEN []::VARCHAR[] ELSE list_concat(
@@ -162,7 +169,7 @@ CTES = {
           lambda h: regexp_matches(h, {q(PROFILE)}) AND NOT contains(h, 'sharer'))) END AS social,
         {vendor('html')} AS blocked_by,
         status = 200 AND page_id % 12 IN (6, 7) AS form,
-        CASE WHEN status <> 200 THEN '' ELSE replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '&amp;', '&') END AS page_title,
+        CASE WHEN status <> 200 THEN '' ELSE {TITLE} END AS page_title,
         CASE WHEN status = 200 AND page_id % 12 = 2 THEN 'About ' || host ELSE '' END AS meta_description,
         CASE WHEN status = 200 AND page_id % 12 = 7 THEN 'Shop' ELSE '' END AS og_title
       FROM found""",
@@ -344,7 +351,7 @@ ORACLE = {
         WHEN 3 THEN 'AkamaiGHost' ELSE '' END AS marked FROM sp)"""),
     "contact_forms": using("sp", """SELECT page_id, CAST(regexp_matches(html, '<form[^>]*contact-form') OR (regexp_matches(html, '<form')
         AND regexp_matches(html, '<input type="email"') AND regexp_matches(html, '<textarea')) AS INTEGER) AS has_contact_form FROM sp"""),
-    "page_metadata": using("sp", """SELECT page_id, replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '&amp;', '&') AS page_title,
+    "page_metadata": using("sp", f"""SELECT page_id, {TITLE} AS page_title,
         trim(regexp_extract(html, '<meta name="(?:D|d)escription" content="([^"]*)"', 1)) AS meta_description,
         trim(regexp_extract(html, '<meta property="og:title" content="([^"]*)"', 1)) AS og_title, '' AS og_description FROM sp"""),
     "own_vs_other": using("mixed", f"SELECT doc_id, email, domain, CAST({owned('email', 'domain')} AS INTEGER) AS is_own FROM mixed"),
