@@ -125,7 +125,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS) -> Centroids:
     """Learn from rows with ``text`` and ``lang``. The driver gets ``FEATURES`` counts and ``fit_rows`` sparse vectors per language."""
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    total = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    total = rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(FEATURES + 1)
     for r in total:
         seen[r["feature"]] = r["n"]

@@ -84,7 +84,7 @@ def dart_signatures(elements: np.ndarray, offsets: np.ndarray, k: int, weights:
         throw = 0
         while len(keys):
             throw += 1
-            h = mix64(keys + np.uint64(throw) * _STEP)
+            h = mix64(keys + np.uint64(throw * int(_STEP) % (1 << 64)))
             rank = rank - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
             inside = rank <= reach[sets]
             keys, sets, rank, h = keys[inside], sets[inside], rank[inside], h[inside]
