@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.llm.components import components
-from sitesignal.llm.text import list_column, lists, mix64, packed, pieces_of, squeezed, unpacked, windows, word_hashes
+from sitesignal.llm.text import list_column, lists, maybe_wanted, mix64, packed, pieces_of, squeezed, unpacked, windows, word_hashes
 from sitesignal.session import stage
 
 WORDS = 5
@@ -172,7 +172,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     wanted = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(nodes.select("rid", "id", "sha"), "rid")
     wanted = wanted.select("rid", F.col("id").alias("w_id"), F.col("sha").alias("w_sha"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("sha", F.sha2(squeezed(F.col("text")), 256))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha"))).select("rid", "text").dropDuplicates(["rid"])
+    texts = maybe_wanted(texts, wanted, "w_sha").join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha"))).select("rid", "text").dropDuplicates(["rid"])
     sets = stage(texts.select("rid", word_hashes(F.col("text")).alias("words")).mapInArrow(_shingle_sets, "rid long, shingles array<long>"), "shingles")
     return stage(_sided(near, sets, "shingles", "x").mapInArrow(_similar, "a long, b long"), "near-links")
 
