@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +41,33 @@ def build_session(app: str = "sitesignal", master: str | None = None, **settings
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting (a test) gets a folder of its own.
+    Where that is unset, as in tests, a folder in the warehouse, which all
+    executors share as well. No session option is changed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="sitesignal-stage-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged").rstrip("/")
+
+
+_group: ContextVar[str | None] = ContextVar("staging_group", default=None)
+_staged: dict[str, list[str]] = {}
+
+
+@contextmanager
+def staging_group(name: str) -> Iterator[None]:
+    """Tables staged inside belong to the group, so that ``release`` can delete them when their last reader is done."""
+    token = _group.set(name)
+    try:
+        yield
+    finally:
+        _group.reset(token)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete what a group has staged. Results that still read it must have been written before."""
+    jvm = spark._jvm
+    for path in _staged.pop(name, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -57,6 +77,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     size of the step and keeps column pruning, which a checkpoint does not.
     """
     path = f"{stage_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if group := _group.get():
+        _staged.setdefault(group, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
