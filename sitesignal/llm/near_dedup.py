@@ -9,12 +9,13 @@ similarity as probability, and a set of n elements costs n + k log k steps, not
 n * k.
 
 Equal texts are one node. Nodes that share a band are paired with the band's
-first node; pairs that pass a loose bound on signatures are checked on their
-whole sets of ``WORDS``-word shingles, and those of similarity ``SIMILARITY``
-or more are linked. Then every band that still holds several classes compares
-its nodes across classes, in tiles, so that no link between two different
-texts of one band is lost because neither is close to the first node. Classes
-are the connected components.
+most central node, the one that shares most bands with others; pairs that pass
+a loose bound on signatures are checked on their whole sets of ``WORDS``-word
+shingles, and those of similarity ``SIMILARITY`` or more are linked. Then every
+band that still holds several classes compares its nodes across classes, tile
+against tile inside a task, so that no link between two different texts of one
+band is lost because neither is close to the central node, and only links ever
+become rows. Classes are the connected components.
 
 A text of fewer than ``WORDS`` words is one shingle. Texts without words are
 equal to each other only if they are the same white space. Null counts as
@@ -164,34 +165,78 @@ def _sided(pairs: DataFrame, table: DataFrame, value: str, name: str) -> DataFra
     return pairs.select("a", "b", f"{name}_a", f"{name}_b")
 
 
+def _shingles_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(rid, shingles)`` of the wanted nodes; only their texts are read again."""
+    wanted = wanted.join(nodes.select("rid", "id", "sha"), "rid").select("rid", F.col("id").alias("w_id"), F.col("sha").alias("w_sha"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("sha", F.sha2(squeezed(F.col("text")), 256))
+    texts = maybe_wanted(texts, wanted, "w_sha").join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha")))
+    texts = texts.select("rid", "text").dropDuplicates(["rid"]).select("rid", word_hashes(F.col("text")).alias("words"))
+    return stage(texts.mapInArrow(_shingle_sets, "rid long, shingles array<long>"), "shingles")
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose shingle sets are similar. Only texts of pairs that pass the estimate are read again."""
+    """The pairs whose shingle sets are similar."""
     near = stage(_sided(pairs, nodes, "signature", "s").mapInArrow(_estimated, "a long, b long"), "near-pairs")
     if near.isEmpty():
         return near
-    wanted = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(nodes.select("rid", "id", "sha"), "rid")
-    wanted = wanted.select("rid", F.col("id").alias("w_id"), F.col("sha").alias("w_sha"))
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("sha", F.sha2(squeezed(F.col("text")), 256))
-    texts = maybe_wanted(texts, wanted, "w_sha").join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha"))).select("rid", "text").dropDuplicates(["rid"])
-    sets = stage(texts.select("rid", word_hashes(F.col("text")).alias("words")).mapInArrow(_shingle_sets, "rid long, shingles array<long>"), "shingles")
+    sets = _shingles_of(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), nodes, docs, id_col, text_col)
     return stage(_sided(near, sets, "shingles", "x").mapInArrow(_similar, "a long, b long"), "near-links")
 
 
-def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of one band whose nodes are of different classes and pass the estimate."""
+def _tile_links(table: pa.Table) -> pa.Table:
+    """Links between different classes of the two sides of a tile. Pairs that links found before have joined are not tested."""
+    rid, root, size, side = (table[c].to_numpy() for c in ("rid", "root", "n_shingles", "side"))
+    (shingles, at) = lists(table["shingles"].combine_chunks())
+    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+    inside = bool((side == 2).any())
+    left = np.flatnonzero(side == 2) if inside else np.flatnonzero(side == 0)
+    right = left if inside else np.flatnonzero(side == 1)
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i in left:
+        open_ = right[(root[right] != root[i]) & (np.minimum(size[right], size[i]) >= SIMILARITY * np.maximum(size[right], size[i]))]
+        if inside:
+            open_ = open_[open_ > i]
+        if not len(open_):
+            continue
+        agree = (signature[open_] == signature[i]).mean(axis=1)
+        order = np.argsort(-agree, kind="stable")
+        for j in open_[order[agree[order] >= ESTIMATE]]:
+            if top(int(root[i])) == top(int(root[j])):
+                continue
+            a, b = shingles[at[i]:at[i + 1]], shingles[at[j]:at[j + 1]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= SIMILARITY * (len(a) + len(b) - both):
+                parent[top(int(root[i]))] = top(int(root[j]))
+                out.append((int(rid[i]), int(rid[j])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def linked_across(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Links between nodes of one band that are still in different classes; null if there is no such band.
+
+    A band is dealt into tiles of about ``TILE`` nodes, and each pair of tiles
+    is one group, so no task holds more than two tiles of a band at once.
+    """
     rooted = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    points = F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda i: F.substring(F.hex("signature"), i * 4 + 1, F.lit(4)))
-    open_ = rooted.join(mixed, "band").join(nodes.select("rid", "signature"), "rid").select(
-        "band", "rid", "root", points.alias("points"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    left = open_.select("band", F.col("rid").alias("a"), F.col("root").alias("root_a"), F.col("points").alias("p_a"),
-                        F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int").alias("tile"))
-    right = open_.select("band", F.col("rid").alias("b"), F.col("root").alias("root_b"), F.col("points").alias("p_b"),
-                         F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    agree = F.size(F.filter(F.zip_with("p_a", "p_b", lambda x, y: x == y), lambda t: t))
-    pairs = left.join(right, (left["band"] == right["band"]) & (left["tile"] == right["tile"]) & (F.col("a") > F.col("b"))
-                      & (F.col("root_a") != F.col("root_b")) & (agree >= ESTIMATE * BANDS * ROWS))
-    return pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    open_ = stage(rooted.join(mixed, "band").select("band", "rid", "root", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "open-bands")
+    if open_.isEmpty():
+        return None
+    sets = _shingles_of(open_.select("rid").distinct(), nodes, docs, id_col, text_col)
+    whole = sets.join(nodes.select("rid", "n_shingles", "signature"), "rid")
+    dealt = open_.withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "band", "rid", "root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
+        F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"))
+    return stage(dealt.join(whole, "rid").groupBy("band", "lo", "hi").applyInArrow(_tile_links, "a long, b long").distinct(), "links-across")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,14 +245,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")).select("sha", F.col("first.rid").alias("head"))
     nodes = stage(rows.join(first.select(F.col("head").alias("rid")), "rid", "left_semi"), "nodes")
     banded = nodes.select("rid", F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.min("rid").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(banded.join(leads, "band"), "bands")
-    tested = members.filter("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct()
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stage(banded.join(shared, "band"), "bands")
+    central = members.join(members.groupBy("rid").agg(F.sum("n").alias("met")), "rid")
+    leads = central.groupBy("band").agg(F.min(F.struct(-F.col("met"), "rid")).alias("lead")).select("band", F.col("lead.rid").alias("lead"))
+    tested = members.join(leads, "band").filter("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct()
     links = linked(tested, nodes, docs, id_col, text_col)
     roots = components(links)
-    more = stage(_across(members, roots, nodes, tested), "across")
-    if not more.isEmpty():
-        roots = components(links.unionByName(linked(more, nodes, docs, id_col, text_col)))
+    more = linked_across(members, roots, nodes, docs, id_col, text_col)
+    if more is not None:
+        roots = components(links.unionByName(more))
     heads = first.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("sha", F.coalesce("root", "head").alias("root"))
     rooted = stage(rows.select("rid", "id", "sha").join(heads, "sha"), "classes")
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first"), F.count(F.lit(1)).alias("class_size"))
