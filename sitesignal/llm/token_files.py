@@ -21,6 +21,7 @@ no shard. Very long texts are encoded chunk by chunk.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 MAGIC = b"EFTK"
 SAMPLE = 256
 SHARD_IDS = 1 << 20
-MEMO = 400_000
+MEMO = 600_000
+RUNS_MEMO = 1_000_000
 
 
 class EliasFano:
@@ -118,9 +120,11 @@ class Shard:
 def word_tokenizer(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """Makes, on a worker, an encoder of whole texts by the tokenizer file.
 
-    The file's tokenizer lower-cases, drops white space and encodes what stands
-    between on its own, so a chunk between spaces has the same ids wherever it
-    stands. Chunks are remembered; the memory is emptied when it is full.
+    The file's tokenizer lower-cases, drops white space and encodes runs of
+    letters and runs of signs on their own. So a chunk between spaces has the
+    same ids wherever it stands, and one of Latin letters with signs behind has
+    the ids of its lower-cased letters and those of its signs. Chunks and runs
+    are remembered; a memory is emptied when it is full.
     """
     def make() -> Callable[[list[str]], list[np.ndarray]]:
         import os
@@ -131,18 +135,32 @@ def word_tokenizer(path: str) -> Callable[[], Callable[[list[str]], list[np.ndar
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        chunks_of, known = re.compile(r"[^\x20\x09-\x0D]+").findall, {}
+        chunks_of = re.compile(r"[^\x20\x09-\x0D]+").findall
+        # no apostrophe: with letters behind it is a token of its own kind
+        simple = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        known: dict[str, bytes] = {}
+        runs: dict[str, bytes] = {"": b""}
+
+        def learn(new: set[str]) -> None:
+            parts = {}
+            for c in new:
+                found = simple(c)
+                parts[c] = (found[1].lower(), found[2]) if found else (c, "")
+            todo = list({x for both in parts.values() for x in both}.difference(runs))
+            for at in range(0, len(todo), 4096):
+                some = todo[at:at + 4096]
+                runs.update(zip(some, [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
+            known.update({c: runs[a] + runs[b] for c, (a, b) in parts.items()})
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             split = [chunks_of(t) for t in texts]
             if len(known) > MEMO:
                 known.clear()
-            new = list({c for chunks in split for c in chunks if c not in known})
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                for c, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[c] = np.array(e.ids, np.uint32).tobytes()
-            return [np.frombuffer(b"".join([known[c] for c in chunks]), np.uint32) for chunks in split]
+            if len(runs) > RUNS_MEMO:
+                runs.clear()
+                runs[""] = b""
+            learn(set().union(*split).difference(known))
+            return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32) for chunks in split]
 
         return encode
 
