@@ -73,7 +73,8 @@ INSTANT_SQL = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01
 
 LOG_SQL = {
     "status": "CASE WHEN value < 5 THEN NULL WHEN value < 12 THEN 503 WHEN value < 16 THEN 429 WHEN value < 19 THEN 404 ELSE 200 END",
-    "retry_after": """CASE WHEN value >= 12 AND value < 14 THEN ' ' || (event_id % 30) || ' '
+    "retry_after": """CASE WHEN value >= 11 AND value < 12 THEN '3'
+                      WHEN value >= 12 AND value < 14 THEN ' ' || (event_id % 30) || ' '
                       WHEN value >= 14 AND value < 15 THEN 'Wed, 03 Jan 2024 10:00:00 GMT'
                       WHEN value >= 15 AND value < 16 THEN 'soon' END""",
 }

@@ -276,7 +276,7 @@ FLAT = """SELECT r.site AS input_url, r.host AS domain, coalesce(l.primary_email
     r.page_title, r.meta_description, r.og_title, '' AS og_description
   FROM res_open r LEFT JOIN lists l ON l.site = r.site"""
 
-HASHED = "left(sha256('pepper' || email), 24) || '@' || lower(split_part(email, '@', -1))"
+HASHED = "sha256('pepper' || email) || '@' || lower(split_part(email, '@', -1))"
 
 ORACLE = {
     "normalize_hosts": """SELECT page_id, base_url, regexp_replace(substr(base_url, 9), '^www[.]', '') AS domain,
@@ -334,7 +334,7 @@ ORACLE = {
         WHEN 3 THEN 'u00a0@konfront.io' WHEN 4 THEN 'x@example.xyz' WHEN 5 THEN 'Sales.' || doc_id || '@shop.io' WHEN 6 THEN 'a@shop.io?subject=x'
         WHEN 7 THEN 'house.js@0.0.h' || doc_id || '.mjs' ELSE 'not-an-address' END)) AS email FROM documents)""",
     "blocked_domain_rows": """SELECT doc_id, 'c' || doc_id || '@mail.' || source || '-' || (doc_id % 25) || '.sample.org' AS email FROM documents d
-        WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 3 = 0 AND b.source = d.source AND b.doc_id % 25 = d.doc_id % 25)""",
+        WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 25 % 3 = 0 AND b.source = d.source AND b.doc_id % 25 = d.doc_id % 25)""",
     "protected_emails": using("sp", f"""SELECT page_id, {decoded("regexp_extract(html, 'data-cfemail=.([A-Fa-f0-9]+)', 1)")} AS email
         FROM sp WHERE contains(html, 'data-cfemail')"""),
     "mailto_emails": using("sp", "SELECT page_id, lower(regexp_extract(html, 'mailto:([^?\"]*)', 1)) AS email FROM sp WHERE contains(html, 'mailto:')"),
@@ -370,13 +370,13 @@ ORACLE = {
     "site_rollup": using("res", f"""SELECT site AS input_url, {joined('emails')} AS emails, {joined('mailto')} AS mailto_emails, {joined('phones', '|')} AS phones,
         {joined('whatsapp')} AS whatsapp, {joined('social')} AS social, {joined('source_pages')} AS source_pages, ok AS pages_ok, failed AS pages_failed,
         blocked_by, CAST(form AS INTEGER) AS has_contact_form, page_title, meta_description, og_title, '' AS og_description FROM res"""),
-    "merged_passes": using("sig", """SELECT a.site, array_to_string(list_sort(list_distinct(list_concat(a.emails, coalesce(b.emails, [])))), ' ') AS emails,
-        array_to_string(list_sort(list_distinct(list_concat(a.source_pages, coalesce(b.source_pages, [])))), ' ') AS source_pages,
-        a.ok + coalesce(b.ok, 0) AS pages_ok, a.failed + coalesce(b.failed, 0) AS pages_failed, coalesce(nullif(a.blocked_by, ''), b.blocked_by, '') AS blocked_by,
-        CAST(a.form OR coalesce(b.form, false) AS INTEGER) AS has_contact_form, coalesce(nullif(a.page_title, ''), b.page_title, '') AS page_title,
+    "merged_passes": using("sig", """SELECT coalesce(a.site, b.site) AS site, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.emails, []), coalesce(b.emails, [])))), ' ') AS emails,
+        array_to_string(list_sort(list_distinct(list_concat(coalesce(a.source_pages, []), coalesce(b.source_pages, [])))), ' ') AS source_pages,
+        coalesce(a.ok, 0) + coalesce(b.ok, 0) AS pages_ok, coalesce(a.failed, 0) + coalesce(b.failed, 0) AS pages_failed, coalesce(nullif(a.blocked_by, ''), b.blocked_by, '') AS blocked_by,
+        CAST(coalesce(a.form, false) OR coalesce(b.form, false) AS INTEGER) AS has_contact_form, coalesce(nullif(a.page_title, ''), b.page_title, '') AS page_title,
         coalesce(nullif(a.meta_description, ''), b.meta_description, '') AS meta_description, coalesce(nullif(a.og_title, ''), b.og_title, '') AS og_title
-        FROM even a LEFT JOIN odd b ON a.site = b.site""").replace("\nSELECT a.site", ",\neven AS (" + CTES["roll"].replace("FROM sig", "FROM sig WHERE page_id % 2 = 0")
-        + "),\nodd AS (" + CTES["roll"].replace("FROM sig", "FROM sig WHERE page_id % 2 = 1") + ")\nSELECT a.site"),
+        FROM even a FULL JOIN odd b ON a.site = b.site""").replace("\nSELECT coalesce(a.site", ",\neven AS (" + CTES["roll"].replace("FROM sig", "FROM sig WHERE page_id % 2 = 0")
+        + "),\nodd AS (" + CTES["roll"].replace("FROM sig", "FROM sig WHERE page_id % 2 = 1") + ")\nSELECT coalesce(a.site"),
     "empty_status": using("sp", """SELECT site, CAST(n = 0 AND ok = 0 AND failed > 0 AS INTEGER) AS fetch_failed, CASE WHEN n > 0 THEN '' WHEN ok = 0 AND failed > 0
           THEN 'pages failed to fetch (0 of ' || failed || ' candidate page(s) returned a response — not a genuine "no email" result)'
           ELSE 'no emails found on checked pages' END AS error
@@ -402,11 +402,13 @@ ORACLE = {
         FROM documents WHERE doc_id % 5 > 1""",
     "fetch_outcome": using("log", """SELECT url, attempt, coalesce(status, 0) AS status, CASE WHEN status = 200 THEN 'ok' WHEN (status IS NULL OR status IN (429, 500, 502, 503, 504)) AND attempt < 2
         THEN 'retryable' ELSE 'failed' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY attempt DESC) AS n FROM log) WHERE n = 1"""),
-    "retry_after": using("log", """SELECT event_id, seconds, least(15.0::DOUBLE, seconds) AS capped FROM (SELECT event_id, round(CASE WHEN regexp_matches(trim(retry_after), '^[0-9]+$')
+    "retry_after": using("log", """SELECT event_id, seconds, CASE WHEN seconds IS NOT NULL THEN least(15.0::DOUBLE, seconds) END AS capped FROM (SELECT event_id, round(CASE WHEN regexp_matches(trim(retry_after), '^[0-9]+$')
         THEN CAST(trim(retry_after) AS DOUBLE) WHEN retry_after LIKE 'Wed%' THEN greatest(0.0, (epoch_us(TIMESTAMP '2024-01-03 10:00:00') - us) / 1e6) END, 3) AS seconds
-        FROM log WHERE retry_after IS NOT NULL)""").replace("least(15.0::DOUBLE, seconds)", "CASE WHEN seconds IS NULL THEN 15.0::DOUBLE ELSE least(15.0::DOUBLE, seconds) END"),
-    "backoff_audit": using("log", """SELECT url, attempt, round(waited, 6) AS waited, ceiling, CAST(prev_ra IS NULL AND waited > ceiling AS INTEGER) AS excess FROM (
-        SELECT b.url, b.attempt, (b.us - a.us) / 1e6 AS waited, least(10.0, pow(2, a.attempt)) + 0.5 AS ceiling, a.retry_after AS prev_ra
+        FROM log WHERE retry_after IS NOT NULL)"""),
+    "backoff_audit": using("log", """SELECT url, attempt, round(waited, 6) AS waited, ceiling, CAST(waited > ceiling AS INTEGER) AS excess FROM (
+        SELECT b.url, b.attempt, (b.us - a.us) / 1e6 AS waited, 0.5 + CASE WHEN a.status = 429 AND regexp_matches(trim(a.retry_after), '^[0-9]+$')
+          THEN least(15.0::DOUBLE, CAST(trim(a.retry_after) AS DOUBLE)) WHEN a.status = 429 AND a.retry_after LIKE 'Wed%'
+          THEN least(15.0::DOUBLE, greatest(0.0, (epoch_us(TIMESTAMP '2024-01-03 10:00:00') - a.us) / 1e6)) ELSE least(10.0::DOUBLE, pow(2, a.attempt)) END AS ceiling
         FROM log b JOIN log a ON a.url = b.url AND a.attempt = b.attempt - 1)"""),
     "politeness_audit": using("log", """SELECT event_id, domain, round(gap, 6) AS gap, CAST(coalesce(gap < CASE WHEN length(domain) % 2 = 0 THEN 7.0 ELSE 0.5 END, false) AS INTEGER) AS too_soon
         FROM (SELECT *, (us - lag(us) OVER (PARTITION BY domain ORDER BY us, event_id)) / 1e6 AS gap FROM log)"""),
@@ -416,7 +418,7 @@ ORACLE = {
             SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, page_id) AS rank FROM scored WHERE score IS NOT NULL) WHERE rank <= 20))"""),
     "hit_rate_by_window": """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, count(*) AS done, count(*) FILTER (event_type = 'click') AS with_email,
         count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1""",
-    "job_keys": using("sp", "SELECT left(sha1(string_agg(site, chr(10) ORDER BY site)), 16) AS job_key FROM (SELECT DISTINCT site FROM sp)"),
+    "job_keys": using("sp", "SELECT left(sha1(CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS VARCHAR) || ',' || CAST(sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS VARCHAR) || ',' || CAST(sum(CAST('0x' || substr(h, 17, 8) AS BIGINT)) AS VARCHAR) || ',' || CAST(sum(CAST('0x' || substr(h, 25, 8) AS BIGINT)) AS VARCHAR) || ',' || CAST(sum(CAST('0x' || substr(h, 33, 8) AS BIGINT)) AS VARCHAR)), 16) AS job_key FROM (SELECT sha1(site) AS h FROM (SELECT DISTINCT site FROM sp))"),
 }
 
 

@@ -212,7 +212,7 @@ def valid_emails(spark: SparkSession, d: str) -> DataFrame:
 def blocked_domain_rows(spark: SparkSession, d: str) -> DataFrame:
     """The blocked domains as a table: hosts of every third page."""
     docs = I.table(spark, d, "documents").select("doc_id", F.expr("source || '-' || (doc_id % 25) || '.sample.org'").alias("domain"))
-    blocked = docs.filter("doc_id % 3 = 0").select("domain")
+    blocked = docs.filter("doc_id % 25 % 3 = 0").select("domain")
     docs = docs.select("doc_id", F.expr("'c' || doc_id || '@mail.' || domain").alias("email"))
     return A.drop_blocked_domains(docs, blocked)
 

@@ -32,7 +32,10 @@ def robots_fields(body: str) -> dict:
     for group in groups:
         if group.applies_to("*"):
             rules = [{"allow": r.allowance, "path": r.path} for r in group.rulelines]
-            delay = None if group.delay is None else float(group.delay)
+            try:
+                delay = None if group.delay is None else float(group.delay)
+            except OverflowError:  # a number beyond all use is no delay
+                delay = None
             return {"rules": rules, "crawl_delay": delay}
     return {"rules": [], "crawl_delay": None}
 
@@ -75,7 +78,7 @@ def parse_robots(body: Column | str) -> Column:
         rows = [None if b is None else robots_fields(b) for b in bodies.to_pylist()]
         return pa.array(rows, type=_ROBOTS_TYPE)
 
-    return robots_of(col_of(body))
+    return robots_of.asNondeterministic()(col_of(body))
 
 
 def parse_sitemap(body: Column | str) -> Column:
@@ -84,7 +87,7 @@ def parse_sitemap(body: Column | str) -> Column:
         rows = [None if b is None else sitemap_fields(gunzip(b)) for b in bodies.to_pylist()]
         return pa.array(rows, type=_SITEMAP_TYPE)
 
-    return sitemap_of(col_of(body))
+    return sitemap_of.asNondeterministic()(col_of(body))
 
 
 def resolve_links(base: Column | str, hrefs: Column | str) -> Column:
@@ -101,4 +104,4 @@ def resolve_links(base: Column | str, hrefs: Column | str) -> Column:
             rows.append([j for j in joined if j is not None])
         return pa.array(rows, type=pa.list_(pa.string()))
 
-    return resolve(col_of(base), col_of(hrefs))
+    return resolve.asNondeterministic()(col_of(base), col_of(hrefs))

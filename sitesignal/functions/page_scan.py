@@ -29,7 +29,8 @@ PAGE_SCHEMA = (
     "title:string,"
     "description:string,"
     "og_title:string,"
-    "og_description:string>"
+    "og_description:string,"
+    "incomplete:boolean>"
 )
 
 _PAGE_TYPE = pa.struct([
@@ -45,6 +46,7 @@ _PAGE_TYPE = pa.struct([
     ("description", pa.string()),
     ("og_title", pa.string()),
     ("og_description", pa.string()),
+    ("incomplete", pa.bool_()),
 ])
 
 # elements that never have content
@@ -320,13 +322,17 @@ class _Page(HTMLParser):
 
 
 def scan_page(html: str, hint) -> dict:
-    page = _Page()
+    """Fields of one page. A page that the parser gives up on keeps what was read so far and is marked incomplete."""
+    page, incomplete = _Page(), False
     try:
         page.feed(html)
         page.close()
-    except AssertionError:
-        pass  # markup the parser gives up on: keep what was read so far
-    return page.fields(hint)
+    except Exception:  # noqa: BLE001  one hostile page must not end the job
+        incomplete = True
+    try:
+        return {**page.fields(hint), "incomplete": incomplete}
+    except Exception:  # noqa: BLE001
+        return {**_Page().fields(hint), "incomplete": True}
 
 
 def hint_pattern(keywords):
@@ -345,4 +351,5 @@ def scan(html: Column | str, keywords=fv.CONTACT_KEYWORDS) -> Column:
         rows = [None if p is None else scan_page(p, hint) for p in pages.to_pylist()]
         return pa.array(rows, type=_PAGE_TYPE)
 
-    return scan_pages(F.col(html) if isinstance(html, str) else html)
+    # not to be evaluated a second time where a filter on its result is pushed down
+    return scan_pages.asNondeterministic()(F.col(html) if isinstance(html, str) else html)

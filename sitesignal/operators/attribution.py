@@ -71,7 +71,7 @@ def drop_personal(sites: DataFrame, emails: str = "emails") -> DataFrame:
 def hashed_personal(email: Column, role: Column, salt: str) -> Column:
     """Personal addresses with the local part replaced by a salted hash."""
     hashed = F.concat(
-        F.substring(F.sha2(F.concat(F.lit(salt), email), 256), 1, 24), F.lit("@"), E.email_domain(email)
+        F.sha2(F.concat(F.lit(salt), email), 256), F.lit("@"), E.email_domain(email)
     )
     return F.when(role == "personal", hashed).otherwise(email)
 

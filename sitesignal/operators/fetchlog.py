@@ -37,16 +37,19 @@ def backoff_ceiling(attempt: Column, base: float = 1.0, cap: float = fv.MAX_BACK
 
 
 def capped_retry_after(value: Column, now: Column) -> Column:
-    return F.least(F.lit(fv.MAX_RETRY_AFTER_SECONDS), retry_after_seconds(value, now))
+    """The wait that is honoured; null when the value is unreadable."""
+    seconds = retry_after_seconds(value, now)
+    return F.when(seconds.isNotNull(), F.least(F.lit(fv.MAX_RETRY_AFTER_SECONDS), seconds))
 
 
 def backoff_audit(log: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
     """Retries with the time waited and whether it exceeds the ceiling of the failed attempt.
 
-    ``intervals`` holds ``(domain, min_interval)``; a wait asked for by the
-    server is no excess.
+    ``intervals`` holds ``(domain, min_interval)``. Where the failed attempt was
+    refused with 429 and a readable Retry-After, the capped value of that is
+    the ceiling in place of the backoff.
     """
-    steps = previous_in_time(log, ["url"], "requested_at", ["attempt"], ["requested_at", "attempt", "retry_after"])
+    steps = previous_in_time(log, ["url"], "requested_at", ["attempt"], ["requested_at", "attempt", "status", "retry_after"])
     retries = steps.filter((F.col("attempt") > 0) & (F.col("prev_attempt") == F.col("attempt") - 1))
     if intervals is not None:
         retries = retries.join(intervals, "domain", "left")
@@ -55,10 +58,11 @@ def backoff_audit(log: DataFrame, intervals: DataFrame | None = None) -> DataFra
     waited = (
         F.unix_micros(F.col("requested_at").cast("timestamp")) - F.unix_micros(F.col("prev_requested_at").cast("timestamp"))
     ) / 1e6
-    ceiling = backoff_ceiling(F.col("prev_attempt")) + F.coalesce("min_interval", F.lit(fv.DEFAULT_MIN_INTERVAL_SECONDS))
+    asked = F.when(F.col("prev_status") == 429, capped_retry_after(F.col("prev_retry_after"), F.col("prev_requested_at")))
+    ceiling = F.coalesce(asked, backoff_ceiling(F.col("prev_attempt"))) + F.coalesce("min_interval", F.lit(fv.DEFAULT_MIN_INTERVAL_SECONDS))
     return retries.select(
         "url", "domain", "attempt", waited.alias("waited"), ceiling.alias("ceiling"),
-        (F.col("prev_retry_after").isNull() & (waited > ceiling)).alias("excess"),
+        (waited > ceiling).alias("excess"),
     )
 
 

@@ -77,18 +77,21 @@ def _first_text(a: Column, b: Column) -> Column:
 
 
 def merge_passes(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Add a later pass: sets united, flags or-ed, texts kept from the earlier pass unless empty."""
+    """Add a later pass: sets united, flags or-ed, texts kept from the earlier pass unless empty. A site known to one pass only stays."""
     merged = [*SETS, "source_pages", "pages_ok", "pages_failed", "blocked_by", "has_contact_form", *METADATA]
-    later = second.select(*keys, *[F.col(c).alias(f"_2_{c}") for c in merged])
-    out = first.join(later, keys, "left")
+    plain = [c for c in first.columns if c not in (*keys, *merged) and c in second.columns]
+    later = second.select(*keys, *[F.col(c).alias(f"_2_{c}") for c in [*merged, *plain]])
+    out = first.join(later, keys, "full")
+    for c in plain:
+        out = out.withColumn(c, F.coalesce(c, f"_2_{c}"))
     for c in [*SETS, "source_pages"]:
-        out = out.withColumn(c, F.array_sort(F.array_union(c, F.coalesce(f"_2_{c}", empty_strings()))))
+        out = out.withColumn(c, F.array_sort(F.array_union(F.coalesce(c, empty_strings()), F.coalesce(f"_2_{c}", empty_strings()))))
     for c in ["pages_ok", "pages_failed"]:
-        out = out.withColumn(c, F.col(c) + F.coalesce(f"_2_{c}", F.lit(0)))
+        out = out.withColumn(c, F.coalesce(c, F.lit(0)) + F.coalesce(f"_2_{c}", F.lit(0)))
     for c in ["blocked_by", *METADATA]:
         out = out.withColumn(c, _first_text(F.col(c), F.col(f"_2_{c}")))
-    out = out.withColumn("has_contact_form", F.col("has_contact_form") | F.coalesce("_2_has_contact_form", F.lit(False)))
-    return out.drop(*[f"_2_{c}" for c in merged])
+    out = out.withColumn("has_contact_form", F.coalesce("has_contact_form", F.lit(False)) | F.coalesce("_2_has_contact_form", F.lit(False)))
+    return out.drop(*[f"_2_{c}" for c in [*merged, *plain]])
 
 
 def empty_status(emails: Column, ok: Column, failed: Column) -> tuple[Column, Column]:

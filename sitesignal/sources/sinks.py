@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal import fixed_values as fv
-from sitesignal.functions.emails import empty_strings
-
-JOB_KEY_BYTES = 256 * 1024 * 1024
 
 
 def write_results_csv(flat: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -30,23 +27,15 @@ def append_history(summary: DataFrame, path: str) -> None:
     stamped.select("timestamp", "total", *fv.CATEGORIES).write.mode("append").json(path)
 
 
-def job_key(targets: DataFrame, exact_bytes: int = JOB_KEY_BYTES) -> DataFrame:
+def job_key(targets: DataFrame) -> DataFrame:
     """Order-independent key of a target list, one row.
 
-    A list within ``exact_bytes`` is hashed as one sorted text. A larger one is
-    hashed in sorted parts first and gets a key of a different shape, so no
-    task ever holds the whole list.
+    Each line is hashed, its hash is cut into five numbers, and the numbers are
+    added up over all lines; the key is the start of the hash of the sums. Any
+    size has the same form, repeats count, and no task holds the list. The key
+    of an empty list is that of five zeros.
     """
-    size = targets.agg(F.sum(F.length("input_url") + 1).alias("n")).first()["n"] or 0
-    lines = lambda c: F.array_join(F.array_sort(F.coalesce(c, empty_strings())), "\n")
-    if size <= exact_bytes:
-        whole = targets.agg(F.collect_list("input_url").alias("_l"))
-        return whole.select(F.substring(F.sha1(lines(F.col("_l"))), 1, 16).alias("job_key"))
-    parts = max(64, int(size // (16 * 1024 * 1024)))
-    # repeats of one target count, but reach the hash as (target, count)
-    counted = targets.groupBy("input_url").agg(F.count(F.lit(1)).alias("n"))
-    named = counted.select(F.concat("input_url", F.lit("\t"), F.col("n").cast("string")).alias("_t"),
-                           F.pmod(F.xxhash64("input_url"), F.lit(parts)).alias("_part"))
-    hashed = named.groupBy("_part").agg(F.sha1(lines(F.collect_list("_t"))).alias("_h"))
-    whole = hashed.agg(F.collect_list(F.concat(F.lpad(F.col("_part").cast("string"), 12, "0"), F.lit(":"), "_h")).alias("_l"))
-    return whole.select(F.concat(F.lit("p"), F.substring(F.sha1(lines(F.col("_l"))), 1, 16)).alias("job_key"))
+    line = targets.select(F.sha1(F.coalesce("input_url", F.lit(""))).alias("h"))
+    chunk = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = line.agg(*[F.coalesce(F.sum(chunk(i)), F.lit(0)).cast("string").alias(f"s{i}") for i in range(5)])
+    return sums.select(F.substring(F.sha1(F.concat_ws(",", *[f"s{i}" for i in range(5)])), 1, 16).alias("job_key"))
