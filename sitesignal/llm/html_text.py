@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SHORT_CHARS = 70
-LONG_CHARS = 200
 LINK_SHARE = 0.4
 STOP_HIGH = 0.30
 STOP_LOW = 0.15
@@ -200,7 +199,7 @@ def first_label(block: Block) -> str:
     words = block.text.lower().split()
     share = sum(w.strip(_MARKS) in STOP_WORDS for w in words) / len(words)
     if share >= STOP_HIGH:
-        return "good" if size > LONG_CHARS or block.region else "near"
+        return "good"
     if share >= STOP_LOW or block.region:
         return "near"
     return "bad"

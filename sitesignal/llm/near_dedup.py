@@ -42,7 +42,7 @@ BANDS = 26
 ROWS = 6
 #: about five standard deviations of the estimate below the similarity
 ESTIMATE = 0.64
-TILE = 256
+TILE = 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -72,7 +72,8 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     rolled = np.zeros(n, np.uint64)
     for i in range(size):
         shifted = np.zeros(n, np.uint64)
-        shifted[: n - i] = h[i:] if i else h
+        if i < n:
+            shifted[: n - i] = h[i:]
         rolled = mix64(rolled + step) ^ shifted
     rolled = mix64(rolled)
     lengths = np.diff(offsets)
