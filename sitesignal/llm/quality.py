@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sitesignal.llm.text import code_points, packed, unpacked
 
 BUCKETS = 1 << 16
-PSEUDO = 50.0
+PSEUDO = 5.0
 THRESHOLD = -0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
