@@ -41,6 +41,19 @@ def read_upserted(spark: SparkSession, path: str, key: str = "input_url", seq: s
     return latest_per_target(ordered, key, "_order").drop("first_seq")
 
 
+def compact_upserts(spark: SparkSession, path: str, upto: int, target: str, key: str = "input_url", seq: str = "seq") -> None:
+    """Write the latest row per key of the batches up to ``upto`` as the first batch of the folder ``target``.
+
+    Run it while the stream is stopped, then let the stream write to
+    ``target``: later batches stay apart from the compacted ones there, and the
+    old folder may go. Nothing is changed in place, so a failed run leaves both
+    folders usable.
+    """
+    rows = spark.read.parquet(f"{path}/part-*").filter(F.col("batch_id") <= upto)
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct("batch_id", seq)).alias("_row"))
+    latest.select(key, "_row.*").select(*rows.columns).write.mode("overwrite").parquet(f"{target}/part-{upto:020d}")
+
+
 def stream_upsert_results(results: DataFrame, path: str, checkpoint: str, **trigger):
     """Start the upsert stream; the caller awaits the returned query."""
     return (
@@ -81,10 +94,17 @@ def recent_writer(path: str, n: int = fv.RECENT_ROWS, ts: str = "finished_at"):
         if earlier:
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/snap-{max(earlier):020d}"))
         rows.orderBy(F.col(ts).desc()).limit(n).write.mode("overwrite").parquet(f"{path}/snap-{batch_id:020d}")
+        for i in sorted(earlier)[:-1]:  # a replay of this batch reads the one before it, and nothing older
+            _drop_snapshot(spark, f"{path}/snap-{i:020d}")
 
     return write
 
 
+def _drop_snapshot(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _snapshots(spark: SparkSession, path: str) -> list[int]:
     if not exists(spark, path):
         return []

@@ -185,9 +185,18 @@ def test_stream_upsert_and_recent(spark, tmp_path):
     source = result_stream(spark, tmp_path, batches, schema)
     streams.stream_upsert_results(source, str(tmp_path / "up"), str(tmp_path / "cp1")).awaitTermination()
     assert {(r.input_url, r.error) for r in streams.read_upserted(spark, str(tmp_path / "up")).collect()} == {("a", "new"), ("b", "x")}
+    compact = str(tmp_path / "compact")
+    streams.compact_upserts(spark, str(tmp_path / "up"), 1, compact)
+    assert spark.read.parquet(f"{compact}/part-*").count() == 2
+    streams.upsert_writer(compact)(spark.createDataFrame([("b", "newer", 1, at(4))], schema), 2)
+    assert {(r.input_url, r.error) for r in streams.read_upserted(spark, compact).collect()} == {("a", "new"), ("b", "newer")}
     q = source.writeStream.foreachBatch(streams.recent_writer(str(tmp_path / "recent"), n=2)).option("checkpointLocation", str(tmp_path / "cp2"))
     q.trigger(availableNow=True).start().awaitTermination()
     assert [r.error for r in streams.read_recent(spark, str(tmp_path / "recent")).collect()] == ["new", "x"]
+    for i in (2, 3):
+        streams.recent_writer(str(tmp_path / "recent"), n=2)(spark.createDataFrame([("c", f"e{i}", i, at(i + 5))], schema), i)
+    assert sorted(x for x in os.listdir(tmp_path / "recent") if x.startswith("snap-")) == [f"snap-{i:020d}" for i in (2, 3)]
+    assert [r.error for r in streams.read_recent(spark, str(tmp_path / "recent")).collect()] == ["e3", "e2"]
 
 
 def test_stream_counters(spark, tmp_path):
