@@ -20,9 +20,12 @@ no shard. Very long texts are encoded chunk by chunk.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 from zlib import crc32
 
 import numpy as np
@@ -34,7 +37,6 @@ MAGIC = b"EFTK"
 SAMPLE = 256
 SHARD_IDS = 1 << 20
 MEMO = 600_000
-RUNS_MEMO = 1_000_000
 
 
 class EliasFano:
@@ -117,54 +119,65 @@ class Shard:
         return np.concatenate([[0], self.ends.all()])
 
 
-def word_tokenizer(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
-    """Makes, on a worker, an encoder of whole texts by the tokenizer file.
+class _Encoder:
+    """Encodes whole texts by the tokenizer file and remembers the ids of what it has seen.
 
-    The file's tokenizer lower-cases, drops white space and encodes runs of
-    letters and runs of signs on their own. So a chunk between spaces has the
-    same ids wherever it stands, and one of Latin letters with signs behind has
-    the ids of its lower-cased letters and those of its signs. Chunks and runs
-    are remembered; a memory is emptied when it is full.
+    The file's tokenizer brings text to its composed form, lower-cases it and
+    encodes runs of letters, single digits and runs of signs on their own;
+    white space only parts them. A text of Latin-1 characters is composed
+    already, so it is cut into such runs here and each run goes to the model
+    alone. Any other text is cut at blanks only, and the tokenizer encodes its
+    chunks. The memory has two generations: what a full old one held is
+    forgotten unless it was met again.
     """
-    def make() -> Callable[[list[str]], list[np.ndarray]]:
-        import os
-        import re
 
+    RUN = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[\x00-\x08\x0e-\x1f!-/:-@[-`{-\x84\x86-\x9f¡-©«-±´¶-¸»¿×÷]+")
+    CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+    BEYOND_LATIN_1 = re.compile("[^\x00-\xff]")
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_signs = {c: signs.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, parts: set[str]) -> None:
+        if len(self.young) > MEMO:
+            self.young, self.old = {}, self.young
+        new = parts.difference(self.young)
+        self.young.update({x: self.old[x] for x in new.intersection(self.old)})
+        other = []
+        for x in new.difference(self.old):
+            if self.RUN.fullmatch(x):
+                self.young[x] = array("I", [t.id for t in self.model.tokenize(x.translate(self.byte_signs))]).tobytes()
+            else:
+                other.append(x)
+        for at in range(0, len(other), 4096):
+            some = other[at:at + 4096]
+            self.young.update(zip(some, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.CHUNK.findall(t) if self.BEYOND_LATIN_1.search(t) else self.RUN.findall(t.lower()) for t in texts]
+        self.learn(set().union(*split))
+        return [np.frombuffer(b"".join(map(self.young.__getitem__, parts)), np.uint32) for parts in split]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One encoder per worker process, kept from task to task."""
+    return _Encoder(path)
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        chunks_of = re.compile(r"[^\x20\x09-\x0D]+").findall
-        # no apostrophe: with letters behind it is a token of its own kind
-        simple = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-        known: dict[str, bytes] = {}
-        runs: dict[str, bytes] = {"": b""}
-
-        def learn(new: set[str]) -> None:
-            parts = {}
-            for c in new:
-                found = simple(c)
-                parts[c] = (found[1].lower(), found[2]) if found else (c, "")
-            todo = list({x for both in parts.values() for x in both}.difference(runs))
-            for at in range(0, len(todo), 4096):
-                some = todo[at:at + 4096]
-                runs.update(zip(some, [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
-            known.update({c: runs[a] + runs[b] for c, (a, b) in parts.items()})
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            split = [chunks_of(t) for t in texts]
-            if len(known) > MEMO:
-                known.clear()
-            if len(runs) > RUNS_MEMO:
-                runs.clear()
-                runs[""] = b""
-            learn(set().union(*split).difference(known))
-            return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32) for chunks in split]
-
-        return encode
-
-    return make
+
+def word_tokenizer(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """Makes, on a worker, an encoder of whole texts by the tokenizer file."""
+    return partial(_encoder, path)
 
 
 def encoded_shards(docs: DataFrame, make: Callable, end_id: int, id_col: str = "doc_id", text_col: str = "text",
