@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.session import stage
 
 SALTS = 8
+CHUNK = 1 << 20
 
 
 def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -17,16 +22,45 @@ def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return salted.join(spread, ["u", "salt"]).drop("salt")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, ``CHUNK`` at a time, as stars around the least node of what they join; at most one link per node."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def stars() -> pa.RecordBatch:
+        a, b = (np.concatenate([batch[c].to_numpy() for batch in held]) for c in ("a", "b"))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        left, right = at[:len(a)], at[len(a):]
+        root = np.arange(len(nodes))
+        while len(apart := np.flatnonzero(root[left] != root[right])):
+            left, right = left[apart], right[apart]
+            np.minimum.at(root, np.maximum(root[left], root[right]), np.minimum(root[left], root[right]))
+            while (root != root[root]).any():
+                root = root[root]
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= CHUNK:
+            yield stars()
+            held, count = [], 0
+    if held:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the links ``(a, b)``; the root is the least node of its component.
 
     Each round first moves every larger neighbour of a node to the node's least
     neighbour, then every smaller one; both are sums over edges, however many
-    a node has. Every round is a table in the shared folder. The links between
+    a node has. Before the first round, each task reduces its own links to
+    stars. Every round is a table in the shared folder. The links between
     two rounds are equal when the work is done, which takes a number of rounds
     that grows with the logarithm of the longest path.
     """
-    current = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    current = stage(edges.filter("a <> b").select("a", "b").mapInArrow(_forest, "u long, v long").distinct(), "links")
     known = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -184,8 +184,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
 
 
 def _tile_links(table: pa.Table) -> pa.Table:
-    """Links between different classes of the two sides of a tile. Pairs that links found before have joined are not tested."""
-    rid, root, size, side = (table[c].to_numpy() for c in ("rid", "root", "n_shingles", "side"))
+    """Pairs of classes that a link between the two sides of a tile joins. Pairs that links found before have joined are not tested."""
+    root, size, side = (table[c].to_numpy() for c in ("root", "n_shingles", "side"))
     (shingles, at) = lists(table["shingles"].combine_chunks())
     signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
     inside = bool((side == 2).any())
@@ -215,25 +215,32 @@ def _tile_links(table: pa.Table) -> pa.Table:
             both = len(np.intersect1d(a, b, assume_unique=True))
             if both >= SIMILARITY * (len(a) + len(b) - both):
                 parent[top(int(root[i]))] = top(int(root[j]))
-                out.append((int(rid[i]), int(rid[j])))
+                out.append((int(root[i]), int(root[j])))
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def linked_across(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """Links between nodes of one band that are still in different classes; null if there is no such band.
+    """Classes ``(a, b)`` to join, since nodes of theirs share a band and are similar; null if no band holds several classes.
 
     A band is dealt into tiles of about ``TILE`` nodes, and each pair of tiles
-    is one group, so no task holds more than two tiles of a band at once.
+    is one group, so no task holds more than two tiles of a band at once. The
+    nodes of the band's largest class have tiles of their own, which meet the
+    tiles of the other nodes and not each other.
     """
     rooted = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    open_ = stage(rooted.join(mixed, "band").select("band", "rid", "root", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "open-bands")
+    sizes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).filter("most.n < n").select(
+        "band", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / TILE).cast("int").alias("few"),
+        F.ceil(F.col("most.n") / TILE).cast("int").alias("many"))
+    open_ = stage(rooted.select("band", "rid", "root").join(mixed, "band"), "open-bands")
     if open_.isEmpty():
         return None
     sets = _shingles_of(open_.select("rid").distinct(), nodes, docs, id_col, text_col)
     whole = sets.join(nodes.select("rid", "n_shingles", "signature"), "rid")
-    dealt = open_.withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+    in_main = F.col("root") == F.col("main")
+    dealt = open_.withColumn("tile", F.when(in_main, F.col("few") + F.pmod(F.xxhash64("rid"), F.col("many"))).otherwise(
+        F.pmod(F.xxhash64("rid"), F.col("few"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(in_main, 0).otherwise(F.col("many"))))).select(
         "band", "rid", "root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
         F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"))
     return stage(dealt.join(whole, "rid").groupBy("band", "lo", "hi").applyInArrow(_tile_links, "a long, b long").distinct(), "links-across")
@@ -253,8 +260,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = linked(tested, nodes, docs, id_col, text_col)
     roots = components(links)
     more = linked_across(members, roots, nodes, docs, id_col, text_col)
-    if more is not None:
-        roots = components(links.unionByName(more))
+    if more is not None and not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("above"))
+        known = roots.unionByName(joined.select(F.col("root").alias("node"), "root")).distinct()
+        roots = known.join(joined, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
     heads = first.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("sha", F.coalesce("root", "head").alias("root"))
     rooted = stage(rows.select("rid", "id", "sha").join(heads, "sha"), "classes")
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first"), F.count(F.lit(1)).alias("class_size"))
