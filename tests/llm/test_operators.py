@@ -292,3 +292,22 @@ def test_planted_passages(spark, awkward):
     odd, _ = awkward
     whole = S.passages(odd).collect()
     assert [(g.id, g.other_id, g.whole) for g in whole] == [(8, 7, True)] and S.passages(odd.limit(0)).count() == 0
+
+
+def test_two_passages_in_one_pair(spark):
+    rows, want = [], {}
+    for gap in (0, 5, 20, 40, 70, 100, 150, 300, 500):
+        for size in (60, 100, 200):
+            n = len(rows)
+            one, two = words(size, 30_000 + n), words(size, 40_000 + n)
+            for side in (0, 1):
+                between = words(gap, 100 * n + side, 10**6)
+                rows.append((n + side, " ".join(words(30, 10_000 + n + side, 10**6) + one + between + two + words(30, 20_000 + n + side, 10**6))))
+            want[n + 1] = [(30, 2 * size)] if not gap else [(30, size), (30 + size + gap, size)]
+            if gap and 2 * size >= 0.8 * (2 * size + gap):
+                want[n + 1] = [(30, 2 * size + gap)]
+    got = defaultdict(list)
+    for g in S.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert g.other_id == g.id - 1
+        got[g.id].append((g.at, g.n_words))
+    assert {i: sorted(x) for i, x in got.items()} == want
