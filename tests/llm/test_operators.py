@@ -311,3 +311,23 @@ def test_two_passages_in_one_pair(spark):
         assert g.other_id == g.id - 1
         got[g.id].append((g.at, g.n_words))
     assert {i: sorted(x) for i, x in got.items()} == want
+
+
+def test_recall_of_edited_passages(spark):
+    r, rows, planted = random.Random(11), [], {}
+    for size, identity in itertools.product((50, 60, 100), (0.8, 0.85, 0.9, 0.95)):
+        for _ in range(30):
+            n = len(rows)
+            base = words(size, 50_000 + n)
+            edited = list(base)
+            for k in r.sample(range(1, size - 1), round((1 - identity) * size)):
+                edited[k] = "edit%d" % r.randrange(10**6)
+            planted[n + 1] = (size, identity)
+            for side, passage in ((0, base), (1, edited)):
+                rows.append((n + side, " ".join(words(80, 60_000 + n + side, 10**6) + passage + words(80, 70_000 + n + side, 10**6))))
+    found = Counter()
+    for g in S.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        size = planted[g.id][0]
+        assert g.other_id == g.id - 1 and min(g.at + g.n_words, 80 + size) - max(g.at, 80) >= 0.8 * size
+        found[planted[g.id]] += 1
+    assert all(found[s, i] >= {0.8: 27}.get(i, 30) for s, i in planted.values()), found
