@@ -331,3 +331,17 @@ def test_recall_of_edited_passages(spark):
         assert g.other_id == g.id - 1 and min(g.at + g.n_words, 80 + size) - max(g.at, 80) >= 0.8 * size
         found[planted[g.id]] += 1
     assert all(found[s, i] >= {0.8: 27}.get(i, 30) for s, i in planted.values()), found
+
+
+def test_passage_whose_phrases_stand_alone_elsewhere(spark):
+    passage, rows = words(60, 80_000, 10**6), []
+    for group in range(2):
+        for at in range(0, 51, 2):  # every phrase of ten words, ahead of both documents and between them
+            n = len(rows)
+            rows.append((n, " ".join(words(20, 90_000 + n, 10**6) + passage[at:at + 10] + words(20, 95_000 + n, 10**6))))
+        n = len(rows)
+        early = passage[20:30] if group else []  # one phrase once more ahead of the passage
+        rows.append((n, " ".join(words(30, 90_000 + n, 10**6) + early + words(30, 99_000 + n, 10**6) + passage + words(30, 95_000 + n, 10**6))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(g.id, g.other_id): g.n_words for g in S.passages(docs).collect()}
+    assert got == {(len(rows) - 1, len(rows) // 2 - 1): 60}
