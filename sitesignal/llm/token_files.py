@@ -127,7 +127,8 @@ class _Encoder:
     white space only parts them. A text of Latin-1 characters is composed
     already, so it is cut into such runs here and each run goes to the model
     alone. Any other text is cut at blanks only, and the tokenizer encodes its
-    chunks. The memory has two generations: what a full old one held is
+    chunks. A text that holds an added token of the file (``<|endoftext|>``) goes
+    to the tokenizer whole, which gives that token's id. The memory has two generations: what a full old one held is
     forgotten unless it was met again.
     """
 
@@ -141,7 +142,9 @@ class _Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: in any case, since a token may be looked for in the lower-cased text
+        self.added = re.compile("|".join(re.escape(x.content) for x in added), re.IGNORECASE) if added else re.compile("(?!)")
         self.model = self.tokenizer.model
         signs = ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_signs = {c: signs.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
@@ -164,9 +167,16 @@ class _Encoder:
             self.young.update(zip(some, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if self.added.search(t)]
+        encoded = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
         split = [self.CHUNK.findall(t) if self.BEYOND_LATIN_1.search(t) else self.RUN.findall(t.lower()) for t in texts]
+        for i in whole:
+            split[i] = []
         self.learn(set().union(*split))
-        return [np.frombuffer(b"".join(map(self.young.__getitem__, parts)), np.uint32) for parts in split]
+        out = [np.frombuffer(b"".join(map(self.young.__getitem__, parts)), np.uint32) for parts in split]
+        for i, e in zip(whole, encoded):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
 
 
 @lru_cache(maxsize=1)

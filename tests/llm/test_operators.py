@@ -345,3 +345,12 @@ def test_passage_whose_phrases_stand_alone_elsewhere(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {(g.id, g.other_id): g.n_words for g in S.passages(docs).collect()}
     assert got == {(len(rows) - 1, len(rows) // 2 - 1): 60}
+
+
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "日<|endoftext|>本 é", "A <|ENDOFTEXT|> b", "a <|end oftext|> b", "plain"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in T.word_tokenizer(tokenizer_file("word_bpe_49k.json"))()(texts)] == want and 49407 in want[0]
+    assert all(49406 in w or 49407 in w for w in want[:3])
