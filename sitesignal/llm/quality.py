@@ -3,8 +3,9 @@
 Two multinomials over hashed character trigrams are counted: one over the
 trusted documents, one over the whole corpus. A document's score is the mean,
 over its trigrams, of the log of trusted against raw probability. Both counts
-get the same pseudo-count at the scale of the trusted total, so a trigram too
-rare to tell scores about 0. A document stays if it passes the base rules and
+get the same pseudo-count, ``ALPHA`` of the trusted trigrams per counter, so a
+trigram too rare to tell scores about 0, and the same corpus several times over
+gets the same scores. A document stays if it passes the base rules and
 its score is at least ``THRESHOLD``, the same for every document.
 
 Counts cover all rows; only the table of ``BUCKETS`` ratios has a fixed size.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from sitesignal.llm.text import code_points, packed, unpacked
 
 BUCKETS = 1 << 16
-PSEUDO = 5.0
+#: pseudo-count of each counter, as a share of the trusted trigrams per counter
+ALPHA = 0.2
 THRESHOLD = -0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -100,7 +102,8 @@ def ratios(rows: DataFrame) -> np.ndarray:
     if not trusted.sum():
         return np.zeros(BUCKETS, np.float32)
     expected = raw * (trusted.sum() / raw.sum())
-    return np.log((trusted + PSEUDO) / (expected + PSEUDO)).astype(np.float32)
+    pseudo = ALPHA * trusted.sum() / BUCKETS
+    return np.log((trusted + pseudo) / (expected + pseudo)).astype(np.float32)
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -354,3 +354,12 @@ def test_added_tokens_keep_their_ids():
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in T.word_tokenizer(tokenizer_file("word_bpe_49k.json"))()(texts)] == want and 49407 in want[0]
     assert all(49406 in w or 49407 in w for w in want[:3])
+
+
+def test_quality_scores_do_not_move_with_size(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = Q.trusted_rows(docs, labels).select("text", "trusted")
+    times = spark.range(50).crossJoin(rows).select("text", "trusted")
+    assert np.abs(Q.ratios(rows) - Q.ratios(times)).max() < 1e-4
+    judged = Q.quality_report(docs, labels).join(labels.select(Q.F.col("doc_id").alias("l_id"), "quality"), Q.F.col("id") == Q.F.col("l_id"))
+    assert judged.filter("NOT base_failed AND kept <> (quality = 1)").count() == 0

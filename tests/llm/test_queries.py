@@ -37,3 +37,11 @@ def test_pipeline(spark):
     assert all(vocabulary.decode(r.ids) == texts[r.doc_id] for r in rows)
     kept = [texts[i].split() for i in {r.doc_id for r in rows}]
     assert len({" ".join(w) for w in kept}) == len(kept)
+
+
+def test_pipeline_on_the_smallest_table(spark):
+    import corpus_pipeline
+
+    bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").collect()}
+    rows = corpus_pipeline.run(spark, SF).select("doc_id").collect()
+    assert rows and not bad & {r.doc_id for r in rows}
