@@ -1,13 +1,14 @@
 """URL verdicts from rules, and from segmented host names for all other URLs.
 
 Host labels are cut into words by a unigram Viterbi search over words counted
-in the page titles. Host words and path tokens then go into a multinomial
+in the titles and texts of all pages. Host words and path tokens then go into a multinomial
 naive Bayes model, trained on the URLs that a rule decides, which judges the
 URLs that no rule decides.
 
-Counts cover every page. The word list keeps the ``VOCABULARY`` most frequent
-words and features are hashed into ``BUCKETS`` counters, so both models have a
-fixed size whatever the input and can be broadcast.
+Counts cover every word of every page, and none is left out: the substrings of
+the distinct runs of letters in host names are joined with the counts, so each
+run brings its own small dictionary and no word list goes to one place. Features
+are hashed into ``BUCKETS`` counters, a model of fixed size that is broadcast.
 
 A null URL or one without ``://`` has an empty host and path, no rule, and is
 judged on the prior alone. Ties between rules cannot happen, since the rule
@@ -18,7 +19,6 @@ allowed. Repeated rows are judged alike; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import inf, log
 from zlib import crc32
 
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = 20_000
+from sitesignal.session import stage
+
 BUCKETS = 1 << 16
-LONGEST_WORD = 24
 
 #: (host, path, verdict)
 RULES = (
@@ -57,27 +57,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def title_words(pages: DataFrame, html_col: str = "html", top: int = VOCABULARY) -> dict[str, int]:
-    """The ``top`` most frequent lower-cased letter runs of the titles, with their counts over all pages."""
-    title = F.lower(F.regexp_extract(F.coalesce(pages[html_col], F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1))
-    found = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = found.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(top).collect()}
+def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``(word, n)``: lower-cased letter runs of titles and texts, tags, scripts and styles left out, over all pages."""
+    text = F.regexp_replace(F.coalesce(pages[html_col], F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    found = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Segmenter:
     """Most likely split of a name into known words; unknown letters cost as much as a rare word each."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` is that of all counts, if ``counts`` holds only those that can occur."""
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: log(total / n) for w, n in counts.items()}
         self.unknown = log(total * 10.0)
-        self.split = lru_cache(50_000)(self._split)
+        self.longest = max(map(len, counts), default=1)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0] + [inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
+            for start in range(max(0, end - self.longest), end):
                 cost = self.cost.get(name[start:end])
                 if cost is None:
                     if end - start > 1:
@@ -105,28 +105,62 @@ def _runs(text: str) -> list[str]:
     return out
 
 
-def features(host: str, path: str, segmenter: Segmenter) -> list[int]:
+def features(host_words: list[str], path: str) -> list[int]:
     """Feature counters that a URL's host words and path tokens fall into."""
-    found = [f"h:{w}" for run in _runs(host) for w in segmenter.split(run)]
-    found += [f"p:{w}" for w in _runs(path.lower())]
+    found = [f"h:{w}" for w in host_words] + [f"p:{w}" for w in _runs(path.lower())]
     return [crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in found]
 
 
-def train(urls: DataFrame, counts: dict[str, int]) -> np.ndarray:
-    """Log-odds of block against allow per feature, and the prior's at the end, from rows with ``host, path, ruled``."""
+def _host_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(h, i, run) for h in batch["host"].to_pylist() for i, run in enumerate(_runs(h))]
+        yield pa.RecordBatch.from_pylist([{"host": h, "at": i, "run": run} for h, i, run in rows], pa.schema(
+            [("host", pa.string()), ("at", pa.int32()), ("run", pa.string())]))
+
+
+def host_segments(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(host, words)`` of distinct hosts: the most likely split of each run of letters, by the counts of all words."""
+    known = stage(counts, "page-words")
+    top = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest")).first()
+    total, longest = top["total"], top["longest"]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch["run"].to_pylist():
+                for size in range(1, min(longest, len(run)) + 1):
+                    own = sorted({run[i:i + size] for i in range(len(run) - size + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(own), pa.string()), pa.array(own, pa.string())], ["run", "word"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [Segmenter({r["word"]: r["n"] for r in own or []}, total).split(run)
+                   for run, own in zip(batch["run"].to_pylist(), batch["found"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["run"], pa.array(out, pa.list_(pa.string()))], ["run", "words"])
+
+    of_host = stage(hosts.select("host").distinct().mapInArrow(_host_runs, "host string, at int, run string"), "host-runs")
+    runs = of_host.select("run").filter("NOT startswith(run, '#')").distinct()
+    found = runs.mapInArrow(parts, "run string, word string").join(known, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    words = runs.join(found, "run", "left").mapInArrow(split, "run string, words array<string>")
+    whole = of_host.join(words, "run", "left").select("host", "at", F.coalesce("words", F.array("run")).alias("words"))
+    whole = whole.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("all"))
+    return whole.select("host", F.flatten("all.words").alias("words"))
+
+
+def train(urls: DataFrame) -> np.ndarray:
+    """Log-odds of block against allow per feature, and the prior's at the end, from rows with ``words, path, ruled``."""
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, seen, rows = Segmenter(counts), np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        seen, rows = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for host, path, ruled in zip(*(c.to_pylist() for c in batch.columns)):
+            for words, path, ruled in zip(*(c.to_pylist() for c in batch.columns)):
                 which = int(ruled == "block")
                 rows[which] += 1
-                np.add.at(seen[which], features(host, path, segmenter), 1)
+                np.add.at(seen[which], features(words, path), 1)
         for which in (0, 1):
             used = np.append(np.flatnonzero(seen[which]), BUCKETS)
             n = np.append(seen[which], rows[which])[used]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), which)), pa.array(used), pa.array(n)], ["which", "feature", "n"])
 
-    ruled = urls.filter("ruled IS NOT NULL").select("host", "path", "ruled")
+    ruled = urls.filter("ruled IS NOT NULL").select("words", "path", "ruled")
     sums = ruled.mapInArrow(tally, "which long, feature long, n long").groupBy("which", "feature").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((2, BUCKETS + 1))
     for r in sums:
@@ -144,17 +178,17 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     split = pages.select(pages[id_col].alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", rule).withColumn("ruled", ruled)
-    counts = title_words(pages, html_col)
-    model = train(split, counts)
+    segments = host_segments(split, page_words(pages, html_col))
+    split = stage(split.join(segments, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))), "urls")
+    model = train(split)
     kind = split.schema["id"].dataType.simpleString()
-    shared = pages.sparkSession.sparkContext.broadcast((counts, model))
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, model = shared.value
-        segmenter = Segmenter(counts)
+        model = shared.value
         for batch in batches:
-            scores = [None if ruled else float(model[features(host, path, segmenter)].sum() + model[-1])
-                      for host, path, ruled in zip(*(batch[c].to_pylist() for c in ("host", "path", "ruled")))]
+            scores = [None if ruled else float(model[features(words, path)].sum() + model[-1])
+                      for words, path, ruled in zip(*(batch[c].to_pylist() for c in ("words", "path", "ruled")))]
             verdict = [r or ("block" if s > 0 else "allow") for r, s in zip(batch["ruled"].to_pylist(), scores)]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["host"], batch["path"], batch["rule"], pa.array(verdict, pa.string()), pa.array(scores, pa.float64())],

@@ -363,3 +363,14 @@ def test_quality_scores_do_not_move_with_size(spark):
     assert np.abs(Q.ratios(rows) - Q.ratios(times)).max() < 1e-4
     judged = Q.quality_report(docs, labels).join(labels.select(Q.F.col("doc_id").alias("l_id"), "quality"), Q.F.col("id") == Q.F.col("l_id"))
     assert judged.filter("NOT base_failed AND kept <> (quality = 1)").count() == 0
+
+
+def test_host_words_from_all_pages_without_a_limit(spark):
+    letters = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    common = " ".join(f"q{letters(i)}" for i in range(21_000))
+    rows = [(1, "https://rarewordhere.org/x", f"<title>{common} {common}</title><p>rareword</p>"), (2, "https://abc1.example.com/en/1", "<p>here <script>rarewordhere</script></p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts = pages.select(U.host_of(pages["url"]).alias("host"))
+    got = {r.host: r.words for r in U.host_segments(hosts, U.page_words(pages)).collect()}
+    assert got["rarewordhere.org"][:2] == ["rareword", "here"] and "#1" in got["abc1.example.com"]
+    assert U.judged(pages).count() == 2
