@@ -17,6 +17,7 @@ from sitesignal.llm import (
     spelling,
     substring_dedup,
     token_files,
+    toxicity,
     url_filter,
 )
 from sitesignal.session import stage
@@ -80,6 +81,13 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id": "doc_id", "at": "start_word", "other_id": "other_doc_id", "other_at": "other_start_word"})
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = lambda column: F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5
+    model = toxicity.fit(docs, labels, fold(F.col("id")) != 0)
+    return toxicity.scored(docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text"), model)
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
@@ -96,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_language_id, op3_source_mixing, op4_url_filter, op5_exact_dedup, op6_token_files, op7_quality_rules, op8_html_text,
-    op9_nbest_pieces, op10_fuzzy_passages, op12_target_resampling, op13_spelling_variants, pipeline)}
+    op9_nbest_pieces, op10_fuzzy_passages, op11_toxicity, op12_target_resampling, op13_spelling_variants, pipeline)}
 
 #: CTEs in front of a query: ``hashed(s, crc)``, the unsigned crc32 of the UTF-8 bytes of every ``s`` of ``strings(s)``. A byte's share of
 #: the hash depends on the byte and its distance from the end alone, and so does that of the starting value, by length
