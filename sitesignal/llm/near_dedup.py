@@ -169,7 +169,7 @@ def _shingles_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
     """``(rid, shingles)`` of the wanted nodes; only their texts are read again."""
     wanted = wanted.join(nodes.select("rid", "id", "sha"), "rid").select("rid", F.col("id").alias("w_id"), F.col("sha").alias("w_sha"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("sha", F.sha2(squeezed(F.col("text")), 256))
-    texts = maybe_wanted(texts, wanted, "w_sha").join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha")))
+    texts = maybe_wanted(texts, wanted, "w_sha", "sha").join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha")))
     texts = texts.select("rid", "text").dropDuplicates(["rid"]).select("rid", word_hashes(F.col("text")).alias("words"))
     return stage(texts.mapInArrow(_shingle_sets, "rid long, shingles array<long>"), "shingles")
 

@@ -12,8 +12,8 @@ Counts cover all rows; only the table of ``BUCKETS`` ratios has a fixed size.
 
 A null or empty text has no words and fails. Texts of fewer than three
 characters have no trigram and score 0. Repeated rows count and score alike.
-Labels may repeat an id: it is trusted if all its labels say so. Without
-trusted rows every score is 0. An empty table gives an empty result.
+Labels may repeat an id: it is trusted if all its labels say so. A null id has
+no label. Without trusted rows every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.text import code_points, packed, unpacked
+from sitesignal.llm.text import code_points, maybe_wanted, packed, unpacked
+from sitesignal.session import stage
 
 BUCKETS = 1 << 16
 #: pseudo-count of each counter, as a share of the trusted trigrams per counter
@@ -35,6 +36,8 @@ THRESHOLD = -0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
+#: trusted ids that are broadcast at most, 64 MB in memory
+BROADCAST_IDS = 1_000_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _SYMBOL = np.isin(np.arange(128), [ord(c) for c in SYMBOLS])
@@ -73,27 +76,45 @@ def base_counts(text: str, points: np.ndarray) -> tuple[int, int, int, int, int]
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(text, trusted)`` of every document."""
-    good = labels.groupBy(F.col("doc_id").alias("l_id")).agg((F.min("quality") == 1).alias("trusted"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``l_id`` of rows that all labels call good."""
+    good = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("q"))
+    return good.filter("q = 1").select("l_id")
+
+
+def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``(text, trusted, raw)``: every text once with ``raw``, and every trusted one once with ``trusted``, in the same row or another.
+
+    Up to ``broadcast_ids`` trusted ids are broadcast and mark the texts where
+    they are read. Beyond that the texts are read a second time: a bit filter of
+    fixed size lets few but the trusted ones out of the scan, and only what it
+    lets out is shuffled to meet its label.
+    """
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.join(good, rows["id"] == good["l_id"], "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    good = stage(trusted_ids(labels), "quality-trusted")
+    yes, no = F.lit(True), F.lit(False)
+    if good.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        marked = rows.join(F.broadcast(good.withColumn("good", yes)), F.col("id") == F.col("l_id"), "left")
+        return marked.select("text", F.coalesce("good", no).alias("trusted"), yes.alias("raw"))
+    near = maybe_wanted(rows, good, "l_id", "id").join(good, F.col("id") == F.col("l_id"), "left_semi")
+    return rows.select("text", no.alias("trusted"), yes.alias("raw")).unionByName(near.select("text", yes.alias("trusted"), no.alias("raw")))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    counts = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for text, good in zip(batch["text"].to_pylist(), batch["trusted"].to_pylist()):
-            counts = np.bincount(trigrams(code_points(text)), minlength=BUCKETS)
-            raw += counts
-            if good:
-                trusted += counts
-    used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(trusted[used])], ["feature", "raw", "trusted"])
+        for text, raw, trusted in zip(batch["text"].to_pylist(), batch["raw"].to_pylist(), batch["trusted"].to_pylist()):
+            own = np.bincount(trigrams(code_points(text)), minlength=BUCKETS)
+            for which, of in enumerate((raw, trusted)):
+                if of:
+                    counts[which] += own
+    used = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c[used]) for c in counts)], ["feature", "raw", "trusted"])
 
 
 def ratios(rows: DataFrame) -> np.ndarray:
-    """Log of trusted against raw probability per counter, from ``(text, trusted)``; at most ``BUCKETS`` rows reach the driver."""
+    """Log of trusted against raw probability per counter, from ``(text, trusted)`` and maybe ``raw``; at most ``BUCKETS`` rows reach the driver."""
+    rows = rows.select("text", "trusted", "raw" if "raw" in rows.columns else F.lit(True).alias("raw"))
     sums = rows.mapInArrow(_tally, "feature long, raw long, trusted long").groupBy("feature").agg(
         F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -110,7 +131,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def judge(rows: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """``rows`` must hold ``text``; the other columns pass through, beside the counts, ``base_failed``, ``score`` and ``kept``."""
+    """``rows`` must hold ``text``; the other columns pass through, beside the counts, ``base_failed``, ``kept`` and ``score``."""
     others = [f for f in rows.schema.fields if f.name != "text"]
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -127,11 +148,11 @@ def judge(rows: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> D
             failed = (columns[0] < MIN_WORDS) | (100 * columns[4] > MAX_REPEAT_PERCENT * columns[0])
             score = np.array(scores)
             yield pa.RecordBatch.from_arrays(
-                [*(batch[f.name] for f in others), *map(pa.array, columns), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))],
-                [*(f.name for f in others), *_COUNTS, "base_failed", "score", "kept"])
+                [*(batch[f.name] for f in others), *map(pa.array, columns), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)],
+                [*(f.name for f in others), *_COUNTS, "base_failed", "kept", "score"])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), *(f"{c} long" for c in _COUNTS),
-                        "base_failed boolean", "score double", "kept boolean"])
+                        "base_failed boolean", "kept boolean", "score double"])
     return rows.mapInArrow(run, schema)
 
 

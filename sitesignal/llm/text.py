@@ -102,18 +102,22 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def maybe_wanted(texts: DataFrame, wanted: DataFrame, wanted_sha: str, sha: str = "sha") -> DataFrame:
-    """``texts`` without most rows whose hash no row of ``wanted`` has, before a join that decides exactly.
+def maybe_wanted(rows: DataFrame, wanted: DataFrame, wanted_key: str, key: str) -> DataFrame:
+    """``rows`` without most whose key no row of ``wanted`` has, before a join that decides exactly.
 
-    The first 22 bits of the wanted hashes are kept as one bit each, in at most
-    2**16 rows of 64 bits whatever the input, which are broadcast. With many
-    more wanted rows than bits it lets everything through.
+    The keys' hashes are kept as one bit each, eight bits for every wanted row,
+    as long as that gives at most ``2 ** 25`` bits: half a million rows of 64
+    bits, which are broadcast. Of what is not wanted, an eighth passes, and more
+    beyond four million wanted rows.
     """
+    count = wanted.count()
+    bits = int(min(25, max(12, np.ceil(np.log2(8 * max(1, count))))))
+
     def place(column: str) -> Column:
-        return F.shiftright(F.conv(F.substring(column, 1, 6), 16, 10).cast("long"), 2)
+        return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
 
-    bits = wanted.select(place(wanted_sha).alias("p")).groupBy(F.shiftright("p", 6).alias("filter_row")).agg(
+    filters = wanted.select(place(wanted_key).alias("p")).groupBy(F.shiftright("p", 6).alias("filter_row")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("filter_bits"))
-    own = texts.withColumn("filter_place", place(sha)).withColumn("filter_row", F.shiftright("filter_place", 6))
-    kept = own.join(F.broadcast(bits), "filter_row").filter("shiftright(filter_bits, cast(filter_place & 63 AS int)) & 1 = 1")
+    own = rows.withColumn("filter_place", place(key)).withColumn("filter_row", F.shiftright("filter_place", 6))
+    kept = own.join(F.broadcast(filters), "filter_row").filter("shiftright(filter_bits, cast(filter_place & 63 AS int)) & 1 = 1")
     return kept.drop("filter_row", "filter_bits", "filter_place")
