@@ -13,18 +13,24 @@ when it leaves its best path. The N best segmentations of a text differ from
 its best one in the N - 1 words of least loss at most, so the backward search
 is run for those words alone, and their N best combine to the text's.
 
+What a worker remembers of words is bounded in bytes and emptied when full, and
+so are the matrices of the forward pass; a worker keeps it from task to task.
+
 A null or empty text has one segmentation, the empty one, with score 0. White
 space is kept as it is; decoding gives back the text exactly. Segmentations of
 equal score come in a fixed order. Texts are read whole; a very long run
-without blanks is one lattice. Repeated rows are encoded alike, and an empty
-table gives an empty result.
+without blanks is one lattice, whose paths share their ends in memory. Repeated
+rows are encoded alike, and an empty table gives an empty result. Columns of the
+input named ``scores`` or ``segmentations`` are replaced by the new ones.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, count
 from math import inf
 
 import numpy as np
@@ -33,15 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitesignal.llm.text import list_column, lists
+from sitesignal.llm.text import list_column
 
 BLANK = "▁"
 UNUSED_SCORE = -1e8
 BYTE_PENALTY = 10.0
-MEMO = 400_000
+N_BEST = 8
+#: what an encoder remembers at most: words with their best ids, and searched words with their segmentations
+WORD_BYTES, SEARCH_BYTES = 96 << 20, 64 << 20
+#: of a remembered word or id tuple beside its characters and ids
+ENTRY_BYTES = 240
+#: characters of texts that are encoded at a time
+BATCH_CHARS = 1 << 20
+#: values that a forward pass holds per table
+CELLS = 1 << 20
 #: words of more characters, or with a blank of their own, are solved one by one
 LONGEST = 32
-BATCH = 20_000
 HASH_BASE = 0x9E3779B97F4A7C15
 SLOT_BASE = 0xD6E8FEB86659FD93
 SLOT_BITS = 20
@@ -189,20 +202,26 @@ class Pieces:
         return out
 
     def nbest(self, segment: str, n: int, blank: bool = False) -> list[Segmentation]:
-        """The ``n`` best segmentations, best first."""
+        """The ``n`` best segmentations, best first; of equal ones, that which was nearer to its start comes first."""
         edges = self.edges(segment, blank)
         best = [0.0] + [-inf] * len(segment)
         for end in range(1, len(segment) + 1):
             best[end] = max(best[start] + value for start, value, _ in edges[end])
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(segment), 0.0)]
+        order = count()
+        # a path is its first piece and the path after it, so all paths together take a link per step
+        heap: list[tuple] = [(-best[-1], len(segment), next(order), 0.0, None)]
         out: list[Segmentation] = []
         while heap and len(out) < n:
-            _, ids, at, gained = heappop(heap)
+            _, at, _, gained, path = heappop(heap)
             if not at:
-                out.append((gained, ids))
+                ids: list[int] = []
+                while path:
+                    ids += path[0]
+                    path = path[1]
+                out.append((gained, tuple(ids)))
                 continue
             for start, value, found in edges[at]:
-                heappush(heap, (-(best[start] + gained + value), found + ids, start, gained + value))
+                heappush(heap, (-(best[start] + gained + value), start, next(order), gained + value, (found, path)))
         return out
 
     def texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -224,129 +243,185 @@ class Pieces:
 def best_sums(parts: list[list[Segmentation]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``n`` best choices of one segmentation per part: total score and the choices."""
     chosen: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-    for own in parts:
-        chosen = sorted((loss - s, taken + (k,)) for loss, taken in chosen for k, (s, _) in enumerate(own))[:n]
+    for own in parts:  # the i-th choice with the k-th of a part has (i + 1) * (k + 1) - 1 others before it
+        chosen = sorted((loss - own[k][0], taken + (k,)) for i, (loss, taken) in enumerate(chosen) for k in range(min(len(own), n // (i + 1))))[:n]
     return [(-loss, taken) for loss, taken in chosen]
 
 
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[:self.size], np.empty(max(end, self.size // 2), self.data.dtype)])
+        self.data[self.size:end] = values
+        self.size = end
+
+    def all(self) -> np.ndarray:
+        return self.data[:self.size]
+
+
 class Encoder:
-    """Texts to their N best segmentations, with a memory of words that is emptied when full."""
+    """Texts to their N best segmentations, with memories of words that are emptied when full."""
 
     def __init__(self, pieces: Pieces, n: int):
         self.pieces, self.n = pieces, n
-        self.searched: dict[str, list[Segmentation]] = {}
         self._forget()
+        self._forget_searched()
 
     def _forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.known: Forward = (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.score, self.loss, self.size, self.flat = (Column(kind) for kind in (np.float64, np.float64, np.int64, np.int32))
+        self.characters = 0
+
+    def _forget_searched(self) -> None:
+        self.searched: dict[str, list[Segmentation]] = {}
+        self.searched_bytes = 0
+
+    def remembered(self) -> int:
+        """Bytes of the words remembered."""
+        return ENTRY_BYTES * len(self.row) + 4 * (self.characters + self.flat.size)
+
+    def _add(self, words: list[str], found: Forward) -> None:
+        for column, values in zip((self.score, self.loss, self.size, self.flat), found):
+            column.add(values)
+        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words))))
+        self.characters += sum(map(len, words))
 
     def learn(self, texts: list[list[str]]) -> None:
         """Forward pass over the words that are new."""
-        if len(self.row) > MEMO:
+        if self.remembered() > WORD_BYTES:
             self._forget()
         by_size: dict[int, list[str]] = {}
-        parts = [self.known]
         for w in set().union(*texts).difference(self.row):
             if len(w) <= LONGEST and BLANK not in w and "\0" not in w:
                 by_size.setdefault(len(w), []).append(w)
             else:
-                found = self.pieces.nbest(BLANK + w, 2, True)
+                found = self.search(w, max(2, self.n))
                 gap = found[0][0] - found[1][0] if len(found) > 1 else inf
-                self.row[w] = len(self.row)
-                parts.append((np.array([found[0][0]]), np.array([gap]), np.array([len(found[0][1])]), np.array(found[0][1], np.int32)))
-        for same in by_size.values():
-            for at in range(0, len(same), BATCH):
-                part = same[at:at + BATCH]
-                parts.append(self.pieces.forward(part))
-                self.row.update(zip(part, range(len(self.row), len(self.row) + len(part))))
-        self.known = tuple(np.concatenate(column) for column in zip(*parts))
-        self.starts = np.cumsum(self.known[2]) - self.known[2]
-
-    def search(self, word: str) -> list[Segmentation]:
+                self._add([w], (np.array([found[0][0]]), np.array([gap]), np.array([len(found[0][1])]), np.array(found[0][1], np.int32)))
+        for size, same in by_size.items():
+            step = max(1, CELLS // ((size + 1) * min(size + 1, self.pieces.longest)))
+            for at in range(0, len(same), step):
+                part = same[at:at + step]
+                self._add(part, self.pieces.forward(part))
+        self.starts = np.cumsum(self.size.all()) - self.size.all()
+
+    def search(self, word: str, n: int) -> list[Segmentation]:
         found = self.searched.get(word)
         if found is None:
-            if len(self.searched) > MEMO:
-                self.searched.clear()
-            found = self.searched[word] = self.pieces.nbest(BLANK + word, self.n, True)
+            found = self.pieces.nbest(BLANK + word, n, True)
+            cost = 4 * len(word) + sum(ENTRY_BYTES + 8 * len(ids) for _, ids in found)
+            if self.searched_bytes + cost > SEARCH_BYTES:
+                self._forget_searched()
+            self.searched[word] = found
+            self.searched_bytes += cost
         return found
 
     def encode(self, texts: list[str | None]) -> list[list[tuple[float, np.ndarray]]]:
         """The segmentations of each text, best first."""
+        return list(self.each(texts))
+
+    def each(self, texts: list[str | None]) -> Iterator[list[tuple[float, np.ndarray]]]:
         split = [t.split(" ") if t else [] for t in texts]
         self.learn(split)
-        score, loss, size, flat = self.known
         rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(split)), np.int64)
-        sizes, scores, losses = size[rows], score[rows], loss[rows]
+        sizes, scores, losses = self.size.all()[rows], self.score.all()[rows], self.loss.all()[rows]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])]
-        out, at = [], 0
+        ids = self.flat.all()[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])]
+        at = 0
         for words in split:
             to = at + len(words)
-            out.append(self._best(words, scores[at:to], losses[at:to], ends[at:to + 1], ids) if words else [(0.0, np.zeros(0, np.int32))])
+            yield self._best(words, scores[at:to], losses[at:to], ends[at:to + 1], ids) if words else [(0.0, np.zeros(0, np.int32))]
             at = to
-        return out
 
     def _best(self, words: list[str], scores: np.ndarray, losses: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> list[tuple[float, np.ndarray]]:
         """Segmentations of one text from its words; ``ends`` says where the best ids of each lie."""
         others = self.n - 1
-        open_ = [int(losses.argmin())] if others == 1 else np.argsort(losses, kind="stable")[:others].tolist()
-        open_ = sorted(i for i in open_ if losses[i] < inf)
+        if not others:
+            return [(float(scores.sum()), ids[ends[0]:ends[-1]])]
+        open_ = np.argpartition(losses, others - 1)[:others] if others < len(losses) else np.arange(len(losses))
+        if others < len(losses):  # of equal losses, the words that come first
+            least = losses[open_].max()
+            below = np.flatnonzero(losses < least)
+            open_ = np.concatenate([below, np.flatnonzero(losses == least)[:others - len(below)]])
+        open_ = sorted(i for i in open_.tolist() if losses[i] < inf)
         rest = float(scores.sum() - scores[open_].sum())
-        found, out = [self.search(words[i]) for i in open_], []
+        found, out = [self.search(words[i], self.n) for i in open_], []
         for score, taken in best_sums(found, self.n):
             parts, at = [], int(ends[0])
             for i, own, k in zip(open_, found, taken):
-                parts += [ids[at:ends[i]], np.array(own[k][1], np.int32)]
-                at = int(ends[i + 1])
+                if k:
+                    parts += [ids[at:ends[i]], np.array(own[k][1], np.int32)]
+                    at = int(ends[i + 1])
             out.append((rest + score, np.concatenate([*parts, ids[at:ends[-1]]])))
         return out
 
 
-def encoded(docs: DataFrame, path: str, n: int = 2, text_col: str = "text") -> DataFrame:
+@lru_cache(maxsize=1)
+def _encoder(path: str, n: int) -> Encoder:
+    return Encoder(Pieces(path), n)
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Texts of a column, about ``BATCH_CHARS`` at a time."""
+    texts = column.to_pylist()
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "") + 64
+        if size >= BATCH_CHARS:
+            yield at, i + 1, texts[at:i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts), texts[at:]
+
+
+def encoded(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text") -> DataFrame:
     """Adds ``scores``, best first, and ``segmentations``, the ids of each, to the rows. ``path`` is the model file, there on every executor."""
     names = {"scores", "segmentations"} & set(docs.columns)
     rows = docs.drop(*names) if names - {text_col} else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(path), n)
+        encoder = _encoder(path, n)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                found = encoder.encode(batch[text_col].to_pylist())
+            for at, to, texts in _slices(whole[text_col]):
+                found = encoder.encode(texts)
                 flat = [ids for best in found for _, ids in best]
                 per_text = np.concatenate([[0], np.cumsum([len(best) for best in found])])
                 ids = list_column(np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32())
                 scores = list_column(np.array([s for best in found for s, _ in best], np.float64), per_text, pa.float64())
                 nested = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores, nested], [*batch.schema.names, "scores", "segmentations"])
+                yield pa.RecordBatch.from_arrays([*whole.slice(at, to - at).columns, scores, nested], [*whole.schema.names, "scores", "segmentations"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("segmentations", T.ArrayType(T.ArrayType(T.IntegerType())))])
     return rows.mapInArrow(run, schema)
 
 
-def decoded(rows: DataFrame, path: str, ids_col: str, out_col: str) -> DataFrame:
-    """Adds the text of a column of ids, and drops the ids."""
-    others = [c for c in rows.columns if c != ids_col]
+def digest(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per text: number of pieces of the best segmentation, scores of all and crc32 of the ids of each (as 32-bit
+    little-endian integers), best first, and whether decoding every one of them gives the text."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        for batch in batches:
-            texts = pieces.texts(*lists(batch[ids_col]))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), texts], [*others, out_col])
-
-    schema = T.StructType([*rows.select(*others).schema.fields, T.StructField(out_col, T.StringType())])
-    return rows.mapInArrow(run, schema)
-
-
-def digest(docs: DataFrame, path: str, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text: number of pieces, best score, loss of the second best, hash of the best ids, and whether decoding gives the text."""
-    rows = encoded(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), path, n)
-    best = F.element_at("segmentations", 1)
-    kept = rows.select(
-        "id", "text", best.alias("ids"), F.size(best).cast("long").alias("n_pieces"), F.element_at("scores", 1).alias("score"),
-        F.when(F.size("scores") > 1, F.element_at("scores", 1) - F.get("scores", 1)).alias("second_loss"),
-        F.xxhash64(best).alias("ids_hash"))
-    back = decoded(kept, path, "ids", "decoded")
-    return back.select("id", "n_pieces", "score", "second_loss", "ids_hash",
-                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+        encoder = _encoder(path, n)
+        for whole in batches:
+            for at, to, texts in _slices(whole["text"]):
+                sizes, scores, hashes, same = [], [], [], []
+                for text, best in zip(texts, encoder.each(texts)):
+                    sizes.append(len(best[0][1]))
+                    scores.append([s for s, _ in best])
+                    hashes.append([zlib.crc32(ids.astype("<i4", copy=False)) for _, ids in best])
+                    ends = np.cumsum([0, *(len(ids) for _, ids in best)])
+                    back = encoder.pieces.texts(np.concatenate([ids for _, ids in best]), ends)
+                    same.append(set(back.to_pylist()) == {text or ""})
+                yield pa.RecordBatch.from_arrays(
+                    [whole["id"].slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())),
+                     pa.array(hashes, pa.list_(pa.int64())), pa.array(same, pa.bool_())],
+                    ["id", "n_pieces", "scores", "ids_crc32", "round_trip"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, n_pieces long, scores array<double>, ids_crc32 array<long>, round_trip boolean")
