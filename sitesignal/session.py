@@ -25,6 +25,7 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
 
@@ -70,16 +71,29 @@ def release(spark: SparkSession, name: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job that runs inside go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a step to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, lets later joins see the real
     size of the step and keeps column pruning, which a checkpoint does not.
+    What the step shuffled is of no more use then and is removed.
     """
     path = f"{stage_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     if group := _group.get():
         _staged.setdefault(group, []).append(path)
-    df.write.parquet(path)
+    with _own_shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
