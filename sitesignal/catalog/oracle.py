@@ -400,6 +400,11 @@ ORACLE = {
     "history_lines": using("hist", "SELECT epoch(hour)::BIGINT AS at, total, email_found FROM hist WHERE hour(hour) % 5 <> 3 ORDER BY hour DESC LIMIT 20"),
     "target_lines": """SELECT CASE doc_id % 5 WHEN 2 THEN 'shop' || doc_id || '.io' WHEN 3 THEN 'https://site' || doc_id || '.org/a' ELSE source || '.com' END AS input_url
         FROM documents WHERE doc_id % 5 > 1""",
+    "target_positions": """SELECT CASE doc_id % 4 WHEN 2 THEN 'shop' || doc_id || '.io' ELSE source || '.com' END AS input_url, ord
+        FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS ord FROM documents) WHERE doc_id % 4 > 1""",
+    "results_round_trip": using("res_open lists", f"SELECT input_url, 1 AS done FROM ({FLAT}) UNION ALL SELECT input_url || '/more', 0 FROM ({FLAT})"),
+    "given_up_targets": f"""SELECT 'https://u' || user_id || '-' || event_id % 37 || '.sample.net' AS input_url, 'none' AS method, {q(fv.ERROR_GAVE_UP.format(seconds=0))} AS error
+        FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'view') > 0 AND count(*) FILTER (event_type = 'click') = 0""",
     "fetch_outcome": using("log", """SELECT url, attempt, coalesce(status, 0) AS status, CASE WHEN status = 200 THEN 'ok' WHEN (status IS NULL OR status IN (429, 500, 502, 503, 504)) AND attempt < 2
         THEN 'retryable' ELSE 'failed' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY attempt DESC) AS n FROM log) WHERE n = 1"""),
     "retry_after": using("log", """SELECT event_id, seconds, CASE WHEN seconds IS NOT NULL THEN least(15.0::DOUBLE, seconds) END AS capped FROM (SELECT event_id, round(CASE WHEN regexp_matches(trim(retry_after), '^[0-9]+$')
@@ -413,7 +418,7 @@ ORACLE = {
     "politeness_audit": using("log", """SELECT event_id, domain, round(gap, 6) AS gap, CAST(coalesce(gap < CASE WHEN length(domain) % 2 = 0 THEN 7.0 ELSE 0.5 END, false) AS INTEGER) AS too_soon
         FROM (SELECT *, (us - lag(us) OVER (PARTITION BY domain ORDER BY us, event_id)) / 1e6 AS gap FROM log)"""),
     "crawl_schedule": using("scored", """SELECT domain, site, url, position, (position - 1) * CASE WHEN length(domain) % 2 = 0 THEN 7.0::DOUBLE ELSE 0.5::DOUBLE END AS start_seconds FROM (
-        SELECT domain, site, url, row_number() OVER (PARTITION BY domain ORDER BY rank, md5(site || chr(1) || url), site, url) AS position FROM (
+        SELECT domain, site, url, row_number() OVER (PARTITION BY domain ORDER BY rank, site, url) AS position FROM (
           SELECT site, url, rank, regexp_replace(substr(site, 9), '^(www|m|blog)[.]', '') AS domain FROM (
             SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, page_id) AS rank FROM scored WHERE score IS NOT NULL) WHERE rank <= 20))"""),
     "hit_rate_by_window": """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, count(*) AS done, count(*) FILTER (event_type = 'click') AS with_email,

@@ -23,9 +23,11 @@ from sitesignal.operators import skew
 from sitesignal.operators.extraction import hrefs, page_signals
 from sitesignal.plans.analyze import analyze, apply_rendered_pass
 from sitesignal.session import spread, stage, stage_dir
-from sitesignal.sources.sinks import job_key
-from sitesignal.sources.tables import decoded_captures, last_summaries, targets_of_lines, usable_text
-from sitesignal.streaming.streams import hit_rate_windows, stream_extract, stream_retry_queue
+from sitesignal.sources.sinks import job_key, write_results_csv
+from sitesignal.sources.tables import decoded_captures, last_summaries, read_completed, read_target_list, targets_of_lines, usable_text
+from sitesignal.streaming.streams import (
+    GIVE_UP_OUTPUT, hit_rate_windows, rocksdb_state, run_until_idle, stream_extract, stream_give_up_by_clock, stream_retry_queue,
+)
 
 # the given addresses all sit under example.*, so queries about them allow those names
 OPEN_DOMAINS = [d for d in fv.BLOCKED_DOMAINS if not d.startswith("example.")]
@@ -478,6 +480,24 @@ def target_lines(spark: SparkSession, d: str) -> DataFrame:
     return targets_of_lines(I.table(spark, d, "documents").select(line.alias("value")))
 
 
+def target_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Target files of one line per document, read back with line numbers over all files."""
+    line = F.expr("""CASE doc_id % 4 WHEN 0 THEN '# ' || source WHEN 1 THEN '' WHEN 2 THEN ' shop' || doc_id || '.io , note' ELSE source || '.com' END""")
+    path = f"{stage_dir(spark)}/targets-{uuid.uuid4().hex}"
+    I.table(spark, d, "documents").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    return read_target_list(spark, path)
+
+
+def results_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that a written result file has a row for, of twice as many."""
+    path = f"{stage_dir(spark)}/results-{uuid.uuid4().hex}"
+    rows = G.flatten_result(G.salvage_gate(_site_results(spark, d)))
+    write_results_csv(rows, path)
+    asked = rows.select("input_url").unionByName(rows.select(F.concat("input_url", F.lit("/more")).alias("input_url")))
+    left = G.resume_remaining(asked, read_completed(spark, path)).withColumn("done", F.lit(0))
+    return left.unionByName(read_completed(spark, path).withColumn("done", F.lit(1)))
+
+
 def job_keys(spark: SparkSession, d: str) -> DataFrame:
     return job_key(I.page_hosts(spark, d).select(F.col("site").alias("input_url")).distinct())
 
@@ -539,6 +559,19 @@ def _run_stream(spark: SparkSession, query: DataFrame, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
+def given_up_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of the events as targets: a view starts one, a click finishes it. Given up by the clock, at once, in a stream over the events."""
+    schema = I.table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    progress = source.select(F.expr("'https://u' || user_id || '-' || event_id % 37 || '.sample.net'").alias("input_url"), F.expr(
+        "CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'finished' ELSE 'other' END").alias("kind"))
+    path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    with rocksdb_state(spark):
+        writer = stream_give_up_by_clock(progress, seconds=0).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+        run_until_idle(writer.start(f"{path}/rows"))
+    return spark.read.schema(GIVE_UP_OUTPUT).parquet(f"{path}/rows").drop("gave_up_at")
+
+
 def streamed_emails(spark: SparkSession, d: str) -> DataFrame:
     """The page addresses again, extracted from a stream of the pages."""
     schema = I.table(spark, d, "pages").schema
@@ -592,7 +625,7 @@ QUERIES = {f.__name__: f for f in [
     page_emails, phones, document_phones, whatsapp_links, social_links, block_signatures, contact_forms, page_metadata,
     own_vs_other, email_roles, ranked_emails, primary_email, mx_filtered, email_dictionary, protected_results, site_rollup,
     merged_passes, empty_status, salvage, result_rows, categories, batch_summary, retry_list, retry_queue, low_quality,
-    second_pass_list, run_counters, latest_per_target, resume_remaining, hit_rate_trend, history_lines, target_lines,
+    second_pass_list, run_counters, latest_per_target, resume_remaining, hit_rate_trend, history_lines, target_lines, target_positions,
     job_keys, fetch_outcome, retry_after, backoff_audit, politeness_audit, crawl_schedule, hit_rate_by_window,
-    streamed_emails, site_analysis, rendered_pass,
+    results_round_trip, given_up_targets, streamed_emails, site_analysis, rendered_pass,
 ]}

@@ -87,7 +87,7 @@ def crawl_schedule(candidates: DataFrame, intervals: DataFrame | None = None) ->
 
     Requests to one domain follow each other at its interval, best ranks first.
     """
-    placed = position_in_key(candidates, ["domain"], ["rank"], ["site", "url"])
+    placed = position_in_key(candidates, ["domain"], ["rank", "site", "url"])
     if intervals is not None:
         placed = placed.join(intervals, "domain", "left")
     else:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitesignal.session import stage
+
 SALTS = 64
 
 
@@ -58,18 +60,31 @@ def previous_in_time(df: DataFrame, keys: list[str], ts: str, order: list[str],
     return out.drop("_prev", "_carry", "_slice")
 
 
-def position_in_key(df: DataFrame, keys: list[str], coarse: list[str], fine: list[str], position: str = "position") -> DataFrame:
-    """Row number per key ordered by ``coarse`` then ``fine``, both total together.
+def position_in_key(df: DataFrame, keys: list[str], order: list[str], position: str = "position") -> DataFrame:
+    """Row number per key in the given order; equal rows come in any order among themselves.
 
-    Rows are numbered within (key, coarse, hash prefix of fine) and shifted by
-    the count of all earlier groups, so ``fine`` sorts by its hash.
+    All rows are sorted into ranges of (key, order), so a hot key lies in many
+    of them. A row's number over the whole table is its place in its range plus
+    the sizes of the ranges before, and its position is that less the number of
+    the key's first row. The counts joined back are one row per key and range,
+    so no join has more rows of a key than a range holds.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("\x01", *[F.col(c).cast("string") for c in fine])))
-    hashed = hashed.withColumn("_p", F.substring("_h", 1, 2))
-    group = [*keys, *coarse, "_p"]
-    counts = hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*coarse, "_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*group).orderBy("_h", *fine)
-    numbered = hashed.withColumn("_rn", F.row_number().over(within)).join(offsets, group)
-    return numbered.withColumn(position, F.col("_rn") + F.col("_before")).drop("_h", "_p", "_rn", "_before")
+    by = [*keys, *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    placed = stage(placed, "positions").withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    starts = counts.join(F.broadcast(sizes), "_part").withColumn("_start", F.min(F.col("_before") + F.col("_least")).over(Window.partitionBy(*keys)))
+    offset = starts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_part", (F.col("_before") - F.col("_start")).alias("_offset"))
+    same = [placed[k].eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return placed.join(offset.withColumnRenamed("_part", "_of"), (placed["_part"] == F.col("_of")) & _all(same)).withColumn(
+        position, F.col("_place") + F.col("_offset") + 1).select(*df.columns, position)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out

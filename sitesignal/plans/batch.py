@@ -13,18 +13,19 @@ from sitesignal.operators.rollup import (
 from sitesignal.plans.analyze import analyze, apply_rendered_pass
 from sitesignal.session import stage
 from sitesignal.sources.sinks import append_attempts, append_history, write_results_csv
-from sitesignal.sources.tables import exists, read_attempts, read_results
+from sitesignal.sources.tables import exists, read_attempts, read_completed, read_results
 
 
 def run_batch(targets: DataFrame, captures: DataFrame, output_path: str, *, robots: DataFrame | None = None,
               sitemaps: DataFrame | None = None, mx: DataFrame | None = None,
               retry_captures: DataFrame | None = None, resume: bool = False, second_pass: bool = True,
-              history_path: str | None = None, personal_salt: str | None = None, **options) -> DataFrame:
+              history_path: str | None = None, personal_salt: str | None = None, completed_path: str | None = None, **options) -> DataFrame:
     """Run a batch and return its final rows, one per target of this run.
 
     ``output_path`` gets ``attempts`` (every row of every pass, appended, so a
     crash loses nothing already written) and ``final`` (one CSV row per target
-    over all runs). ``retry_captures`` is a later fetch of the failed targets;
+    over all runs). Targets that a result CSV at ``completed_path`` has a row
+    for, error rows included, are left out. ``retry_captures`` is a later fetch of the failed targets;
     rendered captures, if any, are the ``pass='rendered'`` rows of ``captures``.
     """
     spark = targets.sparkSession
@@ -34,6 +35,8 @@ def run_batch(targets: DataFrame, captures: DataFrame, output_path: str, *, robo
         todo = resume_remaining(todo, read_attempts(spark, attempts).select("input_url").distinct())
     elif exists(spark, attempts):
         raise FileExistsError(f"{attempts} exists; pass resume=True or another output path")
+    if completed_path is not None:
+        todo = resume_remaining(todo, read_completed(spark, completed_path))
     run = time.time_ns() // 1000 * 10  # three passes at most, numbered within the run
 
     passes = [stage(analyze(todo, captures, robots, sitemaps, mx, **options), "pass0")]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitesignal import fixed_values as fv
 from sitesignal.functions.urls import netloc, strip_blanks
 from sitesignal.operators.rollup import latest_per_target
+from sitesignal.session import stage
 
 CAPTURES = "url string, html string, status int, fetched_at timestamp, pass string"
 RESULTS = T.StructType([T.StructField(c, T.StringType()) for c in fv.RESULT_COLUMNS])
@@ -26,10 +27,26 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
     return targets_of_lines(spark.read.text(path))
 
 
-def targets_of_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+def read_target_list(spark: SparkSession, path: str) -> DataFrame:
+    """``(input_url, ord)`` of text files: ``ord`` is the number of the line, from 1, files in the order of their names.
+
+    A line's number is its place in its block plus the lines of all blocks
+    before, so only one row per block is ever in one order.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    lines = stage(lines, "target-lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).drop("n", "least")
+    numbered = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("ord", F.col("place") + F.col("offset") + 1)
+    return targets_of_lines(numbered, keep=["ord"])
+
+
+def targets_of_lines(lines: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
     line = strip_blanks(value)
     return lines.withColumn("_line", line).filter((F.col("_line") != "") & ~F.col("_line").startswith("#")).select(
-        strip_blanks(F.substring_index("_line", ",", 1)).alias("input_url"))
+        strip_blanks(F.substring_index("_line", ",", 1)).alias("input_url"), *(keep or []))
 
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

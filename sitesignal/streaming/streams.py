@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sitesignal import fixed_values as fv
 from sitesignal.operators.extraction import page_signals
@@ -158,6 +162,87 @@ def stream_give_up(progress: DataFrame, seconds: int = fv.GIVE_UP_SECONDS, laten
     )
 
 
+class GiveUp(StatefulProcessor):
+    """State of one target by the clock of the job: its deadline while it is open, and that it is closed for a while after."""
+
+    def __init__(self, seconds: int, remember_seconds: int):
+        self.seconds, self.remember = seconds, remember_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deadline = handle.getValueState("deadline", "at long")
+        self.closed = handle.getValueState("closed", "at long", ttlDurationMs=self.remember * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kinds = set()
+        for part in rows:
+            kinds |= set(part["kind"])
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if "finished" in kinds:
+            if self.deadline.exists():
+                self.handle.deleteTimer(self.deadline.get()[0])
+                self.deadline.clear()
+            self.closed.update((now,))
+        elif "started" in kinds and not self.deadline.exists() and not self.closed.exists():
+            self.deadline.update((now + self.seconds * 1000,))
+            self.handle.registerTimer(now + self.seconds * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.deadline.exists():
+            at = self.deadline.get()[0]
+            self.deadline.clear()
+            self.closed.update((at,))
+            yield pd.DataFrame({"input_url": [key[0]], "method": ["none"], "error": [fv.ERROR_GAVE_UP.format(seconds=self.seconds)],
+                                "gave_up_at": [pd.Timestamp(at, unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_give_up_by_clock(progress: DataFrame, seconds: int = fv.GIVE_UP_SECONDS, remember_seconds: int = 24 * 3600) -> DataFrame:
+    """Targets not finished within ``seconds`` of the arrival of their start, by processing time.
+
+    A target is reported though no later row comes. For ``remember_seconds``
+    after it has finished or was given up, a late ``started`` does not open it
+    again; then its state expires. The state store has to be RocksDB, see
+    ``rocksdb_state``.
+    """
+    return progress.select("input_url", "kind").groupBy("input_url").transformWithStateInPandas(
+        GiveUp(seconds, remember_seconds), GIVE_UP_OUTPUT, "Append", "ProcessingTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_until_idle(query: StreamingQuery, batches: int = 3, timeout_seconds: float = 600.0) -> None:
+    """Wait until so many batches in a row have read nothing, then stop the query.
+
+    A query with processing-time timers always has another batch to run, so it
+    never counts as having processed all that is available.
+    """
+    until, quiet, last = time.monotonic() + timeout_seconds, 0, -1
+    while query.isActive and quiet < batches and time.monotonic() < until:
+        time.sleep(0.05)
+        for p in query.recentProgress:
+            if p["batchId"] > last:
+                last = p["batchId"]
+                quiet = quiet + 1 if p["numInputRows"] == 0 else 0
+    failure = query.exception()
+    query.stop()
+    if failure is not None:
+        raise failure
+
+
 def stream_retry_queue(results: DataFrame, already_retried: DataFrame) -> DataFrame:
     """Failed targets of a result snapshot that were not retried before; each is retried once."""
     return retry_targets(results).select("input_url").join(already_retried.select("input_url"), "input_url", "left_anti")

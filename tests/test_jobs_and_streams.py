@@ -228,6 +228,50 @@ def test_stream_give_up(spark, tmp_path):
     assert [(r.input_url, r.method) for r in rows] == [("stuck", "none")] and rows[0].error.startswith("gave up after 180s")
 
 
+def test_give_up_by_clock(spark, tmp_path):
+    """Started, finished and late rows, and a start before a restart from the checkpoint; no row comes after the last start."""
+    at = datetime(2024, 1, 1)
+    folder, out = tmp_path / "progress", str(tmp_path / "out")
+
+    def run(n, rows, seconds):
+        spark.createDataFrame([(u, k, at) for u, k in rows], "input_url string, kind string, at timestamp").coalesce(1).write.parquet(str(folder / f"b{n}"))
+        source = spark.readStream.schema("input_url string, kind string, at timestamp").parquet(str(folder / "b*"))
+        with streams.rocksdb_state(spark):
+            writer = streams.stream_give_up_by_clock(source, seconds).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+            streams.run_until_idle(writer.start(out))
+
+    given_up = lambda: sorted(r.input_url for r in spark.read.schema(streams.GIVE_UP_OUTPUT).parquet(out).collect())
+    run(0, [("fine", "started"), ("fine", "finished"), ("slow", "started"), ("odd", "other")], 3600)
+    assert given_up() == []
+    run(1, [("stuck", "started"), ("slow", "finished")], 0)  # restarted: slow is still open and finishes, stuck is given up at once
+    assert given_up() == ["stuck"]
+    run(2, [("fine", "started"), ("stuck", "started"), ("new", "started"), ("new", "started")], 0)  # late rows do not open a closed target
+    assert given_up() == ["new", "stuck"]
+
+
+def test_line_numbers_over_files_and_blocks(spark, tmp_path):
+    lines = [f"site{i}.io, x" if i % 3 else "# none" for i in range(500)]
+    for k in range(4):
+        (tmp_path / f"part{k}.txt").write_text("\n".join(lines[125 * k:125 * (k + 1)]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # many blocks to a file
+    try:
+        got = {r.ord: r.input_url for r in tables.read_target_list(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i + 1: f"site{i}.io" for i in range(500) if i % 3}
+
+
+def test_resume_from_a_result_file(spark, world, tmp_path):
+    first, second = str(tmp_path / "one"), str(tmp_path / "two")
+    inputs = {k: world[k] for k in ("captures", "robots", "sitemaps") if k in world}
+    done = run_batch(world["targets"].limit(1), output_path=first, **inputs)
+    rest = run_batch(world["targets"], output_path=second, completed_path=f"{first}/final", **inputs)
+    had = {r.input_url for r in done.select("input_url").collect()}
+    want = {r.input_url for r in world["targets"].select("input_url").collect()} - had
+    assert had and {r.input_url for r in rest.select("input_url").collect()} == want
+
+
 def test_retry_queue(spark, results):
     once = spark.createDataFrame([("dead.io",)], "input_url string")
     assert sorted(r.input_url for r in streams.stream_retry_queue(results, once).collect()) == ["fail.io"]

@@ -125,12 +125,14 @@ def test_backoff_and_outcome(table, each):
 
 
 def test_audits(table):
-    log = table([("u", "d", 0, None, T0), ("u", "d", 1, None, T0 + timedelta(seconds=1.2)), ("u", "d", 2, "30", T0 + timedelta(seconds=40)),
-                 ("w", "d", 0, None, T0 + timedelta(seconds=40.2))], "url string, domain string, attempt int, retry_after string, requested_at timestamp")
-    back = {r.attempt: (r.waited, r.ceiling, r.excess) for r in H.backoff_audit(log).collect()}
-    assert back == {1: (1.2, 1.5, False), 2: (38.8, 2.5, True)}
+    log = table([("u", "d", 0, 500, None, T0), ("u", "d", 1, 429, "30", T0 + timedelta(seconds=1.2)), ("u", "d", 2, 200, None, T0 + timedelta(seconds=40)),
+                 ("w", "d", 0, 503, "30", T0 + timedelta(seconds=40.2)), ("w", "d", 1, 200, None, T0 + timedelta(seconds=50.2))],
+                "url string, domain string, attempt int, status int, retry_after string, requested_at timestamp")
+    back = {(r.url, r.attempt): (r.waited, r.ceiling, r.excess) for r in H.backoff_audit(log).collect()}
+    # the wait a 429 asked for is honoured up to its cap; a 503 has no say
+    assert back == {("u", 1): (1.2, 1.5, False), ("u", 2): (38.8, 15.5, True), ("w", 1): (10.0, 1.5, True)}
     gaps = [(round(r.gap, 3) if r.gap is not None else None, r.too_soon) for r in H.politeness_audit(log).orderBy("requested_at").collect()]
-    assert gaps == [(None, False), (1.2, False), (38.8, False), (0.2, True)]
+    assert gaps == [(None, False), (1.2, False), (38.8, False), (0.2, True), (10.0, False)]
     wide = H.politeness_audit(log, table([("d", 5.0)], "domain string, min_interval double"))
     assert sum(r.too_soon for r in wide.collect()) == 2
 
@@ -139,3 +141,17 @@ def test_schedule(table):
     rows = table([("d", "s", "u1", 1), ("d", "s", "u2", 2), ("d", "t", "u1", 1)], "domain string, site string, url string, rank int")
     got = H.crawl_schedule(rows, table([("d", 2.0)], "domain string, min_interval double")).orderBy("position").collect()
     assert [(r.position, r.start_seconds) for r in got] == [(1, 0.0), (2, 2.0), (3, 4.0)] and got[2].url == "u2"
+
+
+def test_schedule_of_one_hot_domain(spark):
+    rows = spark.range(3000).selectExpr("if(id % 10 = 0, 'd' || id % 7, 'hot') AS domain", "'s' || id % 40 AS site", "'u' || id AS url", "cast(id % 5 AS int) AS rank")
+    rows = rows.unionByName(rows.limit(30))  # repeated rows have places of their own
+    ranked = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.domain, r.rank, r.site, r.url)):
+        ranked.setdefault(r.domain, []).append((r.rank, r.site, r.url))
+    got = {}
+    for r in H.crawl_schedule(rows.repartition(7)).collect():
+        got.setdefault(r.domain, []).append((r.position, r.rank, r.site, r.url))
+    assert {d: [x[1:] for x in sorted(v)] for d, v in got.items()} == ranked
+    assert all(sorted(x[0] for x in v) == list(range(1, len(v) + 1)) for v in got.values())
+    assert H.crawl_schedule(rows.limit(0)).count() == 0
