@@ -53,7 +53,8 @@ TREES, DEPTH, RATE, BINS, RIDGE = 80, 3, 0.15, 64, 2.0
 LEAST_ROWS, LEAST_SHARE = 4, 0.004
 
 _WORD = re.compile(r"\w+")
-_HIDDEN = re.compile(r"[^\W_]+(?:[@$!*._|-]+[^\W_]+)+")
+#: begins where a word does and never gives back, so that it is linear in any text
+_HIDDEN = re.compile(r"(?<![^\W_])[^\W_]++(?:[@$!*._|-]++[^\W_]++)++")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _SIGN_LETTERS = str.maketrans("01345@$!|", "oieasasii", "789*._-2 6")
 #: task memory of lexicon look-ups and of counts, in entries of a word's size
