@@ -3,13 +3,17 @@
 A scan cuts the page into blocks of text. The first pass judges each block by
 itself: by the element it stands in (a menu, footer, form, advert or comment
 list is never main text), by the share of its text in links, by its length and
-by the share of stop words. Blocks it cannot tell, short ones above all, take
-the label of the nearest judged neighbours in the second pass. Inside an
-article, text counts as main text unless a rule speaks against it.
+by the share of stop words. Stop words speak only where they can: in text of
+Latin script, on a page whose long blocks hold as many of them as the languages
+of the list do. Elsewhere length and links decide, and a sign of a script
+without blanks counts as ``WIDE`` letters. Blocks it cannot tell, short ones
+above all, take the label of the nearest judged neighbours in the second pass.
+Inside an article, text counts as main text unless a rule speaks against it.
 
 Null and empty pages have no blocks and an empty text. Character references
 are decoded once; an element or comment that never ends reaches to the end of
-the page; broken tags are text. The scan is linear in the page's length.
+the page; broken tags are text, and so is all behind the last ``>``. The scan
+is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ SHORT_CHARS = 70
 LINK_SHARE = 0.4
 STOP_HIGH = 0.30
 STOP_LOW = 0.15
+STOP_KNOWN = 0.24  # of all words in a page's long blocks: its language is one of the list
+WIDE = 3
 
 STOP_WORDS = frozenset("""
 a about after all also an and any are as at be because been before but by can could did do does down each even for from had has have he
@@ -59,8 +65,8 @@ _BAD_NAME = re.compile(
 _MAIN_NAME = re.compile(r"(?:^|[^a-z])(?:article(?:body|text)?|content|main|post(?:body)?|entry|story)(?:$|[^a-z])")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*["']?true|role\s*=\s*["']?(?:banner|contentinfo|complementary|search|form)""", re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 
 
 @dataclass
@@ -141,7 +147,13 @@ class _Scan:
     def read(self) -> list[Block]:
         html, at, tag = self.html, 0, _TAG
         lower = None
-        while (lt := html.find("<", at)) >= 0:
+        last = html.rfind(">")
+        while 0 <= (lt := html.find("<", at)):
+            if lt > last and not html.startswith(("<!", "<?"), lt):  # no tag ends any more
+                upto = min((p for p in (html.find("<!", lt), html.find("<?", lt)) if p >= 0), default=len(html))
+                self.text(html[at:upto])
+                at = upto
+                continue
             self.text(html[at:lt])
             if html.startswith("<!--", lt):
                 end = html.find("-->", lt + 4)
@@ -187,27 +199,52 @@ def blocks_of(html: str | None) -> list[Block]:
 
 
 _MARKS = ".,;:!?\"'()[]«»¿¡"
+_UNLIKE_LATIN = re.compile(r"[^\W\d_\u0000-\u024F\u1E00-\u1EFF]")
+#: scripts that write no blanks between words
+_UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+
+
+def _by_itself(block: Block) -> bool:
+    """Not barred, and not mostly links."""
+    return not block.barred and block.link_chars <= LINK_SHARE * len(block.text)
+
+
+def _latin(text: str) -> bool:
+    return text.isascii() or 2 * sum(1 for _ in _UNLIKE_LATIN.finditer(text)) <= sum(map(str.isalpha, text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = text.lower().split()
+    return sum(w.strip(_MARKS) in STOP_WORDS for w in words), len(words)
+
+
+def language_known(blocks: list[Block]) -> bool:
+    """Whether the long Latin blocks of a page hold enough stop words for their share to tell text from lists."""
+    counts = [_stop_words(b.text) for b in blocks if len(b.text) >= SHORT_CHARS and _by_itself(b) and _latin(b.text)]
+    return sum(s for s, _ in counts) >= STOP_KNOWN * sum(n for _, n in counts)
 
 
-def first_label(block: Block) -> str:
-    """``good``, ``bad``, ``near`` (probably good) or ``short``, from the block alone."""
+def first_label(block: Block, known: bool = True) -> str:
+    """``good``, ``bad``, ``near`` (probably good) or ``short``, from the block alone; ``known``: stop words can tell."""
     size = len(block.text)
-    if block.barred or block.link_chars > LINK_SHARE * size:
+    if not _by_itself(block):
         return "bad"
-    if size < SHORT_CHARS:
+    latin = _latin(block.text)
+    if size < SHORT_CHARS and (latin or size + (WIDE - 1) * sum(1 for _ in _UNSPACED.finditer(block.text)) < SHORT_CHARS):
         return "bad" if block.link_chars and not block.region else "short"
-    words = block.text.lower().split()
-    share = sum(w.strip(_MARKS) in STOP_WORDS for w in words) / len(words)
-    if share >= STOP_HIGH:
+    stops, words = _stop_words(block.text)
+    if stops >= STOP_HIGH * words or not (known and latin):
         return "good"
-    if share >= STOP_LOW or block.region:
+    if stops >= STOP_LOW * words or block.region:
         return "near"
     return "bad"
 
 
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """Second pass: undecided blocks take the label of the nearest decided ones of their part of the page."""
-    labels = [first_label(b) for b in blocks]
+    known = language_known(blocks)
+    labels = [first_label(b, known) for b in blocks]
     # barred blocks inside an article say nothing about the text around them; outside they do
     by_region: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
