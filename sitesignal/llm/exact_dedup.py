@@ -3,7 +3,8 @@
 Every block of rows sends, to the owner of each fingerprint range, its sorted
 distinct fingerprints as Golomb-coded gaps. An owner answers each block with
 one bit per fingerprint: seen elsewhere or not. Only rows whose bit is set are
-suspects; their texts alone are shuffled and grouped by their bytes.
+suspects; their texts are shuffled and grouped by their bytes. A bit filter over
+their hashes keeps seven in eight of all other texts in the scan.
 
 Fingerprints are as short as the exchange allows (10 bits more than the row
 count needs), so about one row in a thousand is a suspect without a partner;
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitesignal.llm.text import packed, squeezed, unpacked
+from sitesignal.llm.text import kept_rows, maybe_wanted, squeezed
 from sitesignal.session import stage
 
 BLOCK_ROWS = 16384
@@ -146,11 +147,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, keep_id, group_size, kept, sha)``, one row per row of ``docs``."""
     rows = fingerprinted(docs, id_col, text_col)
     suspects = rows.filter("suspect")
-    wanted = suspects.select(F.col("id").alias("w_id"), F.col("sha").alias("w_sha")).distinct()
-    text = squeezed(docs[text_col])
-    texts = docs.select(docs[id_col].alias("id"), text.alias("body")).withColumn("sha", F.sha2("body", 256))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha")), "left_semi")
-    equal = texts.groupBy("sha", "body").agg(F.count(F.lit(1)).alias("group_size")).select("sha", "group_size")
+    wanted = stage(suspects.select(F.col("sha").alias("w_sha")).distinct(), "suspect-hashes")
+    # what is no suspect and passes the filter has a group of its own that no suspect meets
+    texts = docs.select(squeezed(docs[text_col]).alias("body")).select(F.sha2("body", 256).alias("sha"), "body")
+    equal = maybe_wanted(texts, wanted, "w_sha", "sha").groupBy("sha", "body").agg(F.count(F.lit(1)).alias("group_size")).select("sha", "group_size")
     first = suspects.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first"))
     links = first.join(equal, "sha").select(
         "sha", "group_size", F.col("first.id").alias("keep_id"), F.col("first.rid").alias("keep_rid"),
@@ -165,7 +165,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("k_id"), F.col("sha").alias("k_sha"))
-    whole = packed(docs, id=docs[id_col], sha=F.sha2(squeezed(docs[text_col]), 256))
-    left = whole.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
-    return unpacked(left.dropDuplicates(["id", "sha"]), docs)
+    return kept_rows(docs, exact_groups(docs, id_col, text_col).select("id", "sha", "kept"), id_col, text_col)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitesignal.session import stage
+
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -102,6 +104,21 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _bit_matched(rows: DataFrame, wanted: DataFrame, wanted_key: str, key: str, inside: bool) -> DataFrame:
+    count = wanted.count()
+    bits = int(min(25, max(12, np.ceil(np.log2(8 * max(1, count))))))
+
+    def place(column: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+
+    filters = wanted.select(place(wanted_key).alias("p")).groupBy(F.shiftright("p", 6).alias("filter_row")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("filter_bits"))
+    own = rows.withColumn("filter_place", place(key)).withColumn("filter_row", F.shiftright("filter_place", 6))
+    is_set = F.expr("shiftright(filter_bits, cast(filter_place & 63 AS int)) & 1 = 1")
+    met = own.join(F.broadcast(filters), "filter_row", "inner" if inside else "left")
+    return met.filter(is_set if inside else ~F.coalesce(is_set, F.lit(False))).drop("filter_row", "filter_bits", "filter_place")
+
+
 def maybe_wanted(rows: DataFrame, wanted: DataFrame, wanted_key: str, key: str) -> DataFrame:
     """``rows`` without most whose key no row of ``wanted`` has, before a join that decides exactly.
 
@@ -110,14 +127,28 @@ def maybe_wanted(rows: DataFrame, wanted: DataFrame, wanted_key: str, key: str)
     bits, which are broadcast. Of what is not wanted, an eighth passes, and more
     beyond four million wanted rows.
     """
-    count = wanted.count()
-    bits = int(min(25, max(12, np.ceil(np.log2(8 * max(1, count))))))
+    return _bit_matched(rows, wanted, wanted_key, key, True)
 
-    def place(column: str) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
 
-    filters = wanted.select(place(wanted_key).alias("p")).groupBy(F.shiftright("p", 6).alias("filter_row")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("filter_bits"))
-    own = rows.withColumn("filter_place", place(key)).withColumn("filter_row", F.shiftright("filter_place", 6))
-    kept = own.join(F.broadcast(filters), "filter_row").filter("shiftright(filter_bits, cast(filter_place & 63 AS int)) & 1 = 1")
-    return kept.drop("filter_row", "filter_bits", "filter_place")
+def surely_unwanted(rows: DataFrame, wanted: DataFrame, wanted_key: str, key: str) -> DataFrame:
+    """The rows that ``maybe_wanted`` leaves out: no row of ``wanted`` has their key."""
+    return _bit_matched(rows, wanted, wanted_key, key, False)
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``groups``, ``(id, sha, kept)`` per row, does not keep; all columns as they were.
+
+    Only rows whose id may be among the dropped ones are shuffled. Where the
+    row that stays is repeated, one of its equal rows stays.
+    """
+    marks = groups.groupBy("id", "sha").agg(F.max("kept").alias("again"), F.min("kept").alias("all_kept"))
+    dropped = stage(marks.filter("NOT all_kept").select(F.col("id").alias("d_id"), F.col("sha").alias("d_sha"), "again"), "dropped-rows")
+    whole = packed(docs, id=docs[id_col], text=docs[text_col])
+    stay = surely_unwanted(whole, dropped, "d_id", "id").select("row")
+    asked = maybe_wanted(whole, dropped, "d_id", "id").select("row", "id", F.sha2(squeezed(F.col("text")), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("d_id")) & (F.col("sha") == F.col("d_sha"))
+    left = stay.unionByName(asked.join(dropped, same, "left_anti").select("row"))
+    again = dropped.filter("again")
+    if not again.isEmpty():
+        left = left.unionByName(asked.join(again, same, "left_semi").dropDuplicates(["id", "sha"]).select("row"))
+    return unpacked(left, docs)

@@ -67,6 +67,8 @@ def test_exact_groups(awkward):
     assert sum(g.kept for g in got) == len(groups)
     left = X.drop_exact_copies(docs)
     assert left.columns == docs.columns and left.count() == len(groups)
+    stays = {(min(ids, key=lambda i: (i is None, i or 0)), text) for text, ids in groups.items()}
+    assert {(r.doc_id, squeeze(r.text)) for r in left.collect()} == stays
     assert X.exact_groups(docs.limit(0)).count() == 0
 
 
@@ -212,12 +214,24 @@ def test_quality(spark, awkward):
 PARA = "The quick brown fox is one of the animals that we have seen in the woods and it was not at all afraid of us when we came by."
 
 
+UNLISTED = (
+    "Вчера вечером в городе открылась новая выставка, на которой представлены работы местных художников и скульпторов.",
+    "昨日の夕方、市内の美術館で新しい展覧会が始まり、地元の画家や彫刻家の作品が数多く展示されました。",
+    "Ontem à tarde abriu na cidade uma nova exposição com trabalhos de artistas locais que vieram de várias regiões do país.",
+    "Wczoraj wieczorem w mieście otwarto nową wystawę, na której pokazano prace miejscowych malarzy i rzeźbiarzy.",
+    "افتتح مساء أمس في المدينة معرض جديد يضم أعمال فنانين محليين جاؤوا من مناطق مختلفة من البلاد ومن خارجها.",
+)
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("<p>a &lt;b", ""), (f"<p>{PARA}</p>" * 3, f"{PARA} {PARA} {PARA}"),
     (f"<title>t</title><nav><a href=x>m</a></nav><div class='ad'>{PARA}</div><article><h1>T &amp; t</h1><p>{PARA}<p>Oh\n no.</p></article><footer>&copy; me</footer>",
      f"T & t {PARA} Oh no."),
     (f"<article><p>{PARA}</p><!-- x > y --><aside>{PARA}</aside><script>var a='</p>';</script><form>name</form><p>End.</p><div id='comments'><p>{PARA}</p></div></article>",
      f"{PARA} End."),
+    *((f"<nav><a href=/>{line[:9]}</a></nav>" + f"<p>{line}</p>" * 3 + f"<p>{line[:20]}</p><footer>{line}</footer>", " ".join([line] * 3)) for line in UNLISTED),
+    (f"<p>{UNLISTED[0]}</p><p>Да.</p><p>{UNLISTED[0]}</p>", f"{UNLISTED[0]} Да. {UNLISTED[0]}"),
+    (f"<p>{PARA}</p>" * 4 + "<p>Apples Pears Plums Cherries Lemons Limes Melons Grapes Figs Dates Kiwis Mangos Peaches</p>", " ".join([PARA] * 4)),
     (f"<div class=cookie-notice>We use {PARA}</div><main><p><b>a</b>b <a href='y'>link</a> {PARA}</p></main>", f"ab link {PARA}"),
 ])
 def test_main_text(html, want):
@@ -226,7 +240,19 @@ def test_main_text(html, want):
 
 def test_pages_whole(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "<p>" * 5000 + PARA, "y"), (2, "u", '<a "' * 20000, "z")], "page_id long, url string, html string, text string")
-    assert {g.n_chars for g in H.extracted(pages).collect()} >= {0} and H.extracted(pages.limit(0)).count() == 0
+    got = H.extracted(pages)
+    assert got.columns == ["id", "url", "text", "n_chars"] and H.extracted(pages.limit(0)).count() == 0
+    assert sorted((g.id, g.url, g.text[:9], g.n_chars) for g in got.collect() if g.id == 1 or g.text == PARA) == [(1, None, "", 0), (2, "u", PARA[:9], len(PARA))]
+    assert got.count() == 3
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</p ", '<a "', "<a'<", "<!-", "<script", "<b><i ", "<" + "x" * 50])
+def test_broken_pages_take_linear_time(piece):
+    import time
+    start = time.process_time()
+    H.main_text(piece * (1_000_000 // len(piece)))
+    H.main_text(piece * (1_000_000 // len(piece)) + ">")
+    assert time.process_time() - start < 10
 
 
 def test_nbest_against_all_segmentations(spark, awkward):
