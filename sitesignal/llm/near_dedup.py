@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.llm.components import components
-from sitesignal.llm.text import list_column, lists, maybe_wanted, mix64, packed, pieces_of, squeezed, unpacked, windows, word_hashes
+from sitesignal.llm.text import kept_rows, list_column, lists, maybe_wanted, mix64, pieces_of, squeezed, windows, word_hashes
 from sitesignal.session import stage
 
 WORDS = 5
@@ -273,7 +273,4 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, all columns as they were."""
-    kept = near_classes(docs, id_col, text_col).filter("kept").select(F.col("id").alias("k_id"), F.col("sha").alias("k_sha"))
-    whole = packed(docs, id=docs[id_col], sha=F.sha2(squeezed(docs[text_col]), 256))
-    left = whole.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
-    return unpacked(left.dropDuplicates(["id", "sha"]), docs)
+    return kept_rows(docs, near_classes(docs, id_col, text_col).select("id", "sha", "kept"), id_col, text_col)
