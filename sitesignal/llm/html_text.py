@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -76,6 +77,21 @@ class Block:
     barred: bool
     region: int  # number of the article or main element, 0 outside
 
+    @cached_property
+    def by_itself(self) -> bool:
+        """Not barred, and not mostly links."""
+        return not self.barred and self.link_chars <= LINK_SHARE * len(self.text)
+
+    @cached_property
+    def latin(self) -> bool:
+        return self.text.isascii() or 2 * sum(1 for _ in _UNLIKE_LATIN.finditer(self.text)) <= sum(map(str.isalpha, self.text))
+
+    @cached_property
+    def stop_words(self) -> tuple[int, int]:
+        """Stop words and words of the text."""
+        words = self.text.lower().split()
+        return sum(w.strip(_MARKS) in STOP_WORDS for w in words), len(words)
+
 
 class _Scan:
     """One pass over a page."""
@@ -204,37 +220,21 @@ _UNLIKE_LATIN = re.compile(r"[^\W\d_\u0000-\u024F\u1E00-\u1EFF]")
 _UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 
 
-def _by_itself(block: Block) -> bool:
-    """Not barred, and not mostly links."""
-    return not block.barred and block.link_chars <= LINK_SHARE * len(block.text)
-
-
-def _latin(text: str) -> bool:
-    return text.isascii() or 2 * sum(1 for _ in _UNLIKE_LATIN.finditer(text)) <= sum(map(str.isalpha, text))
-
-
-def _stop_words(text: str) -> tuple[int, int]:
-    """Stop words and words of a text."""
-    words = text.lower().split()
-    return sum(w.strip(_MARKS) in STOP_WORDS for w in words), len(words)
-
-
 def language_known(blocks: list[Block]) -> bool:
     """Whether the long Latin blocks of a page hold enough stop words for their share to tell text from lists."""
-    counts = [_stop_words(b.text) for b in blocks if len(b.text) >= SHORT_CHARS and _by_itself(b) and _latin(b.text)]
+    counts = [b.stop_words for b in blocks if len(b.text) >= SHORT_CHARS and b.by_itself and b.latin]
     return sum(s for s, _ in counts) >= STOP_KNOWN * sum(n for _, n in counts)
 
 
 def first_label(block: Block, known: bool = True) -> str:
     """``good``, ``bad``, ``near`` (probably good) or ``short``, from the block alone; ``known``: stop words can tell."""
     size = len(block.text)
-    if not _by_itself(block):
+    if not block.by_itself:
         return "bad"
-    latin = _latin(block.text)
-    if size < SHORT_CHARS and (latin or size + (WIDE - 1) * sum(1 for _ in _UNSPACED.finditer(block.text)) < SHORT_CHARS):
+    if size < SHORT_CHARS and (block.latin or size + (WIDE - 1) * sum(1 for _ in _UNSPACED.finditer(block.text)) < SHORT_CHARS):
         return "bad" if block.link_chars and not block.region else "short"
-    stops, words = _stop_words(block.text)
-    if stops >= STOP_HIGH * words or not (known and latin):
+    stops, words = block.stop_words
+    if stops >= STOP_HIGH * words or not (known and block.latin):
         return "good"
     if stops >= STOP_LOW * words or block.region:
         return "near"
