@@ -4,10 +4,13 @@ A text becomes a vector of hashed letter bigrams and trigrams, damped counts
 weighted by inverse document frequency and scaled to length 1. Each language
 has several centroids, found by spherical k-means; the centroid at the
 smallest cosine distance names the language. A text farther from its centroid
-than nearly all training texts were is rejected.
+than nearly all texts of that language are is rejected: clusters fitted on the
+rest of the sample see every ``HOLD_OUT``-th of its texts, and ``REJECT_RATE`` of
+those would be rejected.
 
 Document frequencies cover all training rows. The clusters are fitted on at
-most ``FIT_ROWS`` texts of each language, those with the smallest hash.
+most ``FIT_ROWS`` different texts of each language, those with the smallest hash.
+The hashes are chosen first, in salted parts, and only their texts are fetched.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every
 text if nothing was learned. Null languages and null texts are never learned
@@ -32,8 +35,9 @@ FEATURES = 4096
 FIT_ROWS = 800
 CLUSTERS = 4
 ROUNDS = 12
-REJECT_QUANTILE = 0.005
-REJECT_SLACK = 0.5
+HOLD_OUT = 4
+REJECT_RATE = 0.01
+SALTS = 32
 UNDETERMINED = "und"
 
 
@@ -130,10 +134,16 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS) ->
     for r in total:
         seen[r["feature"]] = r["n"]
     idf = (np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1).astype(np.float32)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= fit_rows).drop("place")
+    hashes = rows.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for parts in (["lang", "salt"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("h"))
+        hashes = hashes.withColumn("place", place).filter(F.col("place") <= fit_rows).drop("place")
+    last = hashes.groupBy("lang").agg(F.max("h").alias("last"))
+    # a row per language, of which the model, broadcast later on, holds some thousand numbers each
+    near = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(last), "lang").filter("h <= last")
+    chosen = near.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", "text")
     sample: dict[str, list[np.ndarray]] = {}
-    for r in chosen.mapInArrow(_sampled, "lang string, feature array<int>, n array<int>").toLocalIterator():
+    for r in chosen.orderBy("lang", "h").mapInArrow(_sampled, "lang string, feature array<int>, n array<int>").toLocalIterator():
         counts = np.zeros(FEATURES, np.float32)
         counts[r["feature"]] = r["n"]
         sample.setdefault(r["lang"], []).append(counts)
@@ -141,14 +151,12 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS) ->
     centres, owner, least = [], [], []
     for i, lang in enumerate(model.languages):
         x = model.vectors(np.stack(sample[lang]))
-        c = _clusters(x, clusters)
-        cosine = x @ c.T
-        own = cosine.argmax(axis=1)
-        for j in range(len(c)):
-            near = cosine[own == j, j]
-            centres.append(c[j])
+        held = np.arange(len(x)) % HOLD_OUT == HOLD_OUT - 1
+        limit = float(np.quantile((x[held] @ _clusters(x[~held], clusters).T).max(axis=1), REJECT_RATE)) if held.any() else 0.0
+        for c in _clusters(x, clusters):
+            centres.append(c)
             owner.append(i)
-            least.append(REJECT_SLACK * float(np.quantile(near, REJECT_QUANTILE)) if len(near) else 0.0)
+            least.append(limit)
     if centres:
         model.centres, model.owner, model.least = np.stack(centres).astype(np.float32), np.array(owner), np.array(least)
     return model
