@@ -7,7 +7,10 @@ URLs that no rule decides.
 
 Counts cover every word of every page, and none is left out: the substrings of
 the distinct runs of letters in host names are joined with the counts, so each
-run brings its own small dictionary and no word list goes to one place. Features
+run brings its own small dictionary and no word list goes to one place. Of a
+run's substrings only those of up to ``HEAD`` letters, and those as long as some
+word with the same first ``HEAD`` letters, are formed: their number grows with
+the run's length, not with its square. Features
 are hashed into ``BUCKETS`` counters, a model of fixed size that is broadcast.
 
 A null URL or one without ``://`` has an empty host and path, no rule, and is
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from sitesignal.session import stage
 
 BUCKETS = 1 << 16
+HEAD = 4
 
 #: (host, path, verdict)
 RULES = (
@@ -58,8 +62,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``(word, n)``: lower-cased letter runs of titles and texts, tags, scripts and styles left out, over all pages."""
-    text = F.regexp_replace(F.coalesce(pages[html_col], F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    """``(word, n)``: lower-cased letter runs of titles and texts over all pages.
+
+    Tags, scripts, styles and comments are left out; what never closes reaches to the end of the page.
+    """
+    text = F.regexp_replace(F.coalesce(pages[html_col], F.lit("")), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>|&#?\w++;", " ")
     found = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -72,15 +79,18 @@ class Segmenter:
         total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: log(total / n) for w, n in counts.items()}
         self.unknown = log(total * 10.0)
-        self.longest = max(map(len, counts), default=1)
+        self.sizes = sorted({1, *map(len, counts)}, reverse=True)
 
     def split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0] + [inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for size in self.sizes:
+                start = end - size
+                if start < 0:
+                    continue
                 cost = self.cost.get(name[start:end])
                 if cost is None:
-                    if end - start > 1:
+                    if size > 1:
                         continue
                     cost = self.unknown
                 if best[start] + cost < best[end]:
@@ -121,15 +131,28 @@ def _host_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_segments(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """``(host, words)`` of distinct hosts: the most likely split of each run of letters, by the counts of all words."""
     known = stage(counts, "page-words")
-    top = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest")).first()
-    total, longest = top["total"], top["longest"]
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
+    lengths = known.filter(F.length("word") > HEAD).groupBy(F.substring("word", 1, HEAD).alias("head")).agg(
+        F.sort_array(F.collect_set(F.length("word"))).alias("lengths"))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, run in zip(batch["rid"].to_pylist(), batch["run"].to_pylist()):
+                own: dict[str, list[int]] = {}
+                for at in range(len(run) - HEAD):
+                    own.setdefault(run[at:at + HEAD], []).append(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rid] * len(own), pa.int64()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.list_(pa.int32()))],
+                    ["rid", "head", "places"])
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in batch["run"].to_pylist():
-                for size in range(1, min(longest, len(run)) + 1):
-                    own = sorted({run[i:i + size] for i in range(len(run) - size + 1)})
-                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(own), pa.string()), pa.array(own, pa.string())], ["run", "word"])
+            for rid, run, long in zip(*(batch[c].to_pylist() for c in ("rid", "run", "long"))):
+                every = range(len(run))
+                for places, sizes in [(every, range(1, HEAD + 1)), *((at["places"], at["lengths"]) for at in long or [])]:
+                    for size in sizes:
+                        own = sorted({run[i:i + size] for i in places if i + size <= len(run)})
+                        yield pa.RecordBatch.from_arrays([pa.array([rid] * len(own), pa.int64()), pa.array(own, pa.string())], ["rid", "word"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +162,12 @@ def host_segments(hosts: DataFrame, counts: DataFrame) -> DataFrame:
 
     of_host = stage(hosts.select("host").distinct().mapInArrow(_host_runs, "host string, at int, run string"), "host-runs")
     runs = of_host.select("run").filter("NOT startswith(run, '#')").distinct()
-    found = runs.mapInArrow(parts, "run string, word string").join(known, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    words = runs.join(found, "run", "left").mapInArrow(split, "run string, words array<string>")
+    runs = stage(runs.select(F.monotonically_increasing_id().alias("rid"), "run"), "letter-runs")
+    long = runs.mapInArrow(heads, "rid long, head string, places array<int>").join(lengths, "head").groupBy("rid").agg(
+        F.collect_list(F.struct("places", "lengths")).alias("long"))
+    parts = runs.join(long, "rid", "left").select("rid", "run", "long").mapInArrow(substrings, "rid long, word string")
+    found = parts.join(known, "word").groupBy("rid").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    words = runs.join(found, "rid", "left").mapInArrow(split, "run string, words array<string>")
     whole = of_host.join(words, "run", "left").select("host", "at", F.coalesce("words", F.array("run")).alias("words"))
     whole = whole.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("all"))
     return whole.select("host", F.flatten("all.words").alias("words"))

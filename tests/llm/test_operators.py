@@ -400,3 +400,45 @@ def test_host_words_from_all_pages_without_a_limit(spark):
     got = {r.host: r.words for r in U.host_segments(hosts, U.page_words(pages)).collect()}
     assert got["rarewordhere.org"][:2] == ["rareword", "here"] and "#1" in got["abc1.example.com"]
     assert U.judged(pages).count() == 2
+
+
+def test_long_host_labels_and_broken_pages(spark):
+    long = "thequickbrownfox" * 6250
+    rows = [(1, f"https://{long}.org/x", "<p>the quick brown fox fox</p>"), (2, "https://quickfox.net/fr/1", "<script" * 50_000), (3, "https://foxthe.net/a", "<!-- " * 50_000),
+            (4, None, "<a " * 100_000), (4, None, "&a" * 100_000), (5, "https://thefox.com/" + "a" * 100_000, None),
+            (6, "http://" + "".join(random.Random(1).choices("thequickfoxbrw", k=30_000)), "")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, words string")
+    hosts = pages.select(U.host_of(pages["url"]).alias("host"))
+    got = {r.host: r.words for r in U.host_segments(hosts, U.page_words(pages)).collect()}
+    assert got[f"{long}.org"][:-1] == ["the", "quick", "brown", "fox"] * 6250 + list("or") and got["quickfox.net"][:2] == ["quick", "fox"]
+    assert sorted(r.id for r in U.judged(pages).collect()) == [1, 2, 3, 4, 4, 5, 6]
+
+
+def test_substrings_meet_all_words(spark):
+    r = random.Random(3)
+    counts = {"".join(r.choice("ab") for _ in range(r.randrange(1, 12))): r.randrange(1, 50) for _ in range(150)}
+    names = ["".join(r.choice("abc") for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    segments = U.host_segments(spark.createDataFrame([(n,) for n in names], "host string"), spark.createDataFrame(list(counts.items()), "word string, n long"))
+    whole = U.Segmenter(counts)
+    cost = lambda parts: sum(whole.cost.get(p, whole.unknown if len(p) == 1 else float("inf")) for p in parts)
+    for row in segments.collect():
+        assert "".join(row.words) == row.host and cost(row.words) == pytest.approx(cost(whole.split(row.host)))
+
+
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang IS NOT NULL AND length(text) > 200")
+    unlearned = docs.groupBy("lang").count().orderBy("count", "lang").first()["lang"]
+    learned = docs["lang"] != unlearned
+    model = L.fit(docs.filter(learned & (docs["doc_id"] % 3 != 0)))
+    got = L.predicted(docs.filter(~learned | (docs["doc_id"] % 3 == 0)).select("doc_id", "lang", "text"), model).collect()
+    foreign, own = ([g.rejected for g in got if (g.lang == unlearned) == which] for which in (True, False))
+    assert np.mean(foreign) >= 0.9 and np.mean(own) <= 0.04
+
+
+def test_language_sample_without_copies(spark):
+    texts = [("aa", "same text of many rows")] * 500 + [("aa", f"text {w} of one row") for w in words(30, 4)] + [("bb", "zwei Worte")] + [(None, "x"), ("aa", None)]
+    rows = spark.createDataFrame(texts, "lang string, text string")
+    model = L.fit(rows, fit_rows=10)
+    assert model.languages == ["aa", "bb"] and list(model.owner) == [0, 0, 0, 0, 1] and model.least[-1] == 0
+    again = L.fit(rows.repartition(5), fit_rows=10)
+    assert np.allclose(model.centres, again.centres) and np.allclose(model.least, again.least)
