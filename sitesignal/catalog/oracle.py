@@ -264,6 +264,12 @@ def _with_walk(max_files: int, max_pages: int, body: str) -> str:
     return using("seeds files", "").rstrip() + ",\n" + _walk(max_files, max_pages) + "\n" + body
 
 
+LEFTOVERS = """, read AS ({every}), known AS (SELECT site, sitemap_url FROM seeds UNION SELECT site, unnest(children) FROM read)
+    SELECT r.site, (SELECT count(*) FROM known k WHERE k.site = r.site AND NOT EXISTS (SELECT 1 FROM read b WHERE b.site = k.site AND b.sitemap_url = k.sitemap_url)) AS files_left,
+      sum(coalesce(len(r.pages), 0) - r.take)::BIGINT AS pages_left FROM read r GROUP BY r.site""".format(
+    every=" UNION ALL ".join(f"SELECT site, sitemap_url, children, pages, take FROM done{i}" for i in range(4)))
+
+
 LEVELS = """CASE length(host) % 3
     WHEN 0 THEN [{'allow': 0, 'path': '/de/'}, {'allow': 1, 'path': '/de/1'}]
     WHEN 1 THEN [{'allow': 1, 'path': '/fr/1'}, {'allow': 0, 'path': '/fr/'}, {'allow': 0, 'path': '/en/2'}]
@@ -321,6 +327,8 @@ ORACLE = {
     "sitemap_parse": using("files", """SELECT url, 'sitemap' AS kind, CAST(generate_subscripts(children, 1) - 1 AS BIGINT) AS ord, unnest(children) AS loc FROM files
         UNION ALL SELECT url, 'page', CAST(generate_subscripts(pages, 1) - 1 AS BIGINT), unnest(pages) FROM files"""),
     "sitemap_walk": _with_walk(WALK_LIMITS["max_files"], WALK_LIMITS["max_pages"], "SELECT site, url, file_no, pos FROM walked"),
+    "sitemap_leftovers": _with_walk(50, 20000, "") + LEFTOVERS,
+    "sitemap_leftovers_tight": _with_walk(WALK_LIMITS["max_files"], WALK_LIMITS["max_pages"], "") + LEFTOVERS,
     "sitemap_pages": _with_walk(50, 20000, "SELECT DISTINCT site, url FROM walked"),
     "usable_captures": using("sp", """SELECT page_id, CAST(status = 200 AS INTEGER) AS usable,
         CASE WHEN status = 200 THEN length(html) + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END ELSE 0 END AS n_chars FROM sp"""),

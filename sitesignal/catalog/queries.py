@@ -169,6 +169,20 @@ def sitemap_walk(spark: SparkSession, d: str) -> DataFrame:
         "site", "url", F.expr(f"ord div {M.FILE_STRIDE}").alias("file_no"), F.expr(f"ord % {M.FILE_STRIDE}").alias("pos"))
 
 
+def _leftovers(spark: SparkSession, d: str, **limits: int) -> DataFrame:
+    parsed, seeds = stage(M.parsed_sitemaps(I.sitemap_files(spark, d)), "parsed"), _seeds(spark, d)
+    return M.walk_leftovers(seeds, parsed, M.walk_files(seeds, parsed, **limits))
+
+
+def sitemap_leftovers(spark: SparkSession, d: str) -> DataFrame:
+    """What the default budgets and the depth leave out, by site."""
+    return _leftovers(spark, d)
+
+
+def sitemap_leftovers_tight(spark: SparkSession, d: str) -> DataFrame:
+    return _leftovers(spark, d, **WALK_LIMITS)
+
+
 def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
     parsed = stage(M.parsed_sitemaps(I.sitemap_files(spark, d)), "parsed")
     pages = M.dedupe_pages(M.walk_sitemaps(_seeds(spark, d), parsed))
@@ -620,7 +634,7 @@ def rendered_pass(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in [
     normalize_hosts, unparseable_targets, url_tokens, rank_contact_urls, top_candidates, early_stop_pages, reachable_sites,
     footer_links, second_hop_links, robots_rules, robots_allowed, crawl_delay, min_intervals, declared_sitemaps,
-    sitemap_candidates, sitemap_parse, sitemap_walk, sitemap_pages, usable_captures, page_text, page_links, text_emails,
+    sitemap_candidates, sitemap_parse, sitemap_walk, sitemap_leftovers, sitemap_leftovers_tight, sitemap_pages, usable_captures, page_text, page_links, text_emails,
     valid_emails, blocked_domain_rows, obfuscated_emails, protected_emails, mailto_emails, json_emails, markup_emails,
     page_emails, phones, document_phones, whatsapp_links, social_links, block_signatures, contact_forms, page_metadata,
     own_vs_other, email_roles, ranked_emails, primary_email, mx_filtered, email_dictionary, protected_results, site_rollup,

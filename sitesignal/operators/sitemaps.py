@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitesignal import fixed_values as fv
@@ -41,41 +43,69 @@ def walk_files(seeds: DataFrame, parsed: DataFrame, site: str = "site",
                max_pages: int = fv.MAX_SITEMAP_PAGES_PER_SITE) -> DataFrame:
     """Files each site reads, in reading order, and how many pages of each count.
 
-    Breadth-first over at most ``max_depth + 1`` waves. Budgets are kept with
-    page *counts* per file, at most ``max_files`` rows per site; pages are only
-    unfolded afterwards. Returns ``(site, sitemap_url, file_no, take)``.
+    Breadth-first over at most ``max_depth + 1`` waves. The frontier is one row
+    per site: what it has spent, the files it has read and those it reads next,
+    both at most ``max_files``. A wave joins the latter with the parsed files
+    and writes the next frontier; the write itself counts the sites that go on.
+    Returns ``(site, sitemap_url, file_no, take)``.
     """
-    sizes = parsed.select("url", "children", F.size("pages").cast("bigint").alias("n_pages"))
-    frontier = seeds.select(site, "sitemap_url", F.col("ord").cast("bigint").alias("ord"))
-    read = None
+    sizes = parsed.select(
+        F.col("url").alias("sitemap_url"), F.size("pages").cast("bigint").alias("n"),
+        # all that can still be read is among the first max_files different children
+        F.slice(F.array_distinct("children"), 1, max_files).alias("children"))
+    start = first_per_key(seeds.select(site, "sitemap_url", F.col("ord").cast("bigint").alias("ord")), [site, "sitemap_url"], "ord")
+    start = top_k(start, [site], [F.col("ord"), F.col("sitemap_url")], max_files, ["sitemap_url"], rank="_i")
+    frontier = start.groupBy(site).agg(F.array_sort(F.collect_list(F.struct("_i", "sitemap_url"))).alias("_next")).select(
+        site, F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<string>").alias("seen"),
+        F.col("_next.sitemap_url").alias("next"))
+    waves = []
     for depth in range(max_depth + 1):
-        if read is None:
-            budget = frontier.withColumn("_files", F.lit(0).cast("bigint")).withColumn(
-                "_pages", F.lit(0).cast("bigint"))
-        else:
-            spent = read.groupBy(site).agg(F.count(F.lit(1)).alias("_files"), F.sum("take").alias("_pages"))
-            fresh = frontier.join(read.select(site, "sitemap_url"), [site, "sitemap_url"], "left_anti")
-            budget = fresh.join(spent, site).filter(
-                (F.col("_files") < max_files) & (F.col("_pages") < max_pages))
-        # only the first max_files entries of a frontier can be read at all
-        wave = top_k(budget, [site], [F.col("ord"), F.col("sitemap_url")], max_files, ["sitemap_url"], rank="_pos")
-        wave = wave.filter(F.col("_pos") + F.col("_files") <= max_files)
-        wave = wave.withColumn("file_no", F.col("_pos") + F.col("_files"))
-        fetched = wave.join(sizes, wave["sitemap_url"] == sizes["url"], "left").drop("url")
-        running = Window.partitionBy(site).orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("_n").over(running), F.lit(0)) + F.col("_pages")
-        fetched = fetched.withColumn("_n", F.coalesce("n_pages", F.lit(0).cast("bigint"))).withColumn(
-            "take", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("_n"), F.lit(max_pages) - before)))
-        done = stage(fetched.select(site, "sitemap_url", "file_no", "take", "children"), f"sitemap-wave{depth}")
-        step = done.drop("children")
-        read = step if read is None else read.unionByName(step)
-        if depth == max_depth or done.filter(F.size("children") > 0).isEmpty():
+        wanted = frontier.filter(F.size("next") > 0)
+        listed = wanted.select(site, F.posexplode("next").alias("_i", "sitemap_url")).join(sizes, "sitemap_url", "left")
+        files = listed.groupBy(site).agg(F.array_sort(F.collect_list(F.struct("_i", "sitemap_url", "n", "children"))).alias("files"))
+        done = _read_wave(wanted.join(files, site), site, max_files, max_pages)
+        going_on = Observation()
+        frontier = stage(done.observe(going_on, F.count_if(F.size("next") > 0).alias("sites")), f"sitemap-wave{depth}")
+        waves.append(frontier.select(site, F.explode("read").alias("_r")).select(site, "_r.*"))
+        if going_on.get["sites"] == 0:
             break
-        links = done.select(site, "file_no", F.posexplode("children").alias("_i", "sitemap_url"))
-        frontier = first_per_key(
-            links.select(site, "sitemap_url", (F.col("file_no") * F.lit(FILE_STRIDE) + F.col("_i")).alias("ord")),
-            [site, "sitemap_url"], "ord")
-    return read
+    return reduce(DataFrame.unionByName, waves)
+
+
+def _read_wave(rows: DataFrame, site: str, max_files: int, max_pages: int) -> DataFrame:
+    """``(site, spent, seen, next, read)`` after the files of a wave, which ``files`` holds in reading order."""
+    none = F.array().cast("array<bigint>")
+
+    def take(state: Column, file: Column) -> Column:
+        n = F.least(F.coalesce(file["n"], F.lit(0).cast("bigint")), F.lit(max_pages).cast("bigint") - state["spent"])
+        return F.struct((state["spent"] + n).alias("spent"), F.concat(state["takes"], F.array(n)).alias("takes"))
+
+    # the names differ from those of the result, or a lambda would see the new columns in place of the old
+    counted = rows.select(site, F.col("seen").alias("_seen"), "files", F.aggregate(
+        "files", F.struct(F.col("spent"), none.alias("takes")), take).alias("_c"))
+    read = F.transform("files", lambda f, i: F.struct(
+        f["sitemap_url"].alias("sitemap_url"), (F.size("_seen") + i + 1).cast("bigint").alias("file_no"),
+        F.get("_c.takes", i).alias("take")))
+    seen = F.concat("_seen", F.col("files.sitemap_url"))
+    named = F.flatten(F.transform("files", lambda f: F.coalesce(f["children"], F.array().cast("array<string>"))))
+    fresh = F.slice(F.array_except(named, seen), F.lit(1), F.lit(max_files) - F.size(seen))
+    return counted.select(
+        site, F.col("_c.spent").alias("spent"), seen.alias("seen"),
+        F.when(F.col("_c.spent") < max_pages, fresh).otherwise(F.array().cast("array<string>")).alias("next"), read.alias("read"))
+
+
+def walk_leftovers(seeds: DataFrame, parsed: DataFrame, files: DataFrame, site: str = "site") -> DataFrame:
+    """``(site, files_left, pages_left)``: what the budgets and the depth of a walk left out.
+
+    ``files`` is the result of ``walk_files``. Files are counted once a site,
+    if a seed or a file it has read names them; pages are those of files read.
+    """
+    read = files.join(parsed.select(F.col("url").alias("sitemap_url"), "children", F.size("pages").alias("n")), "sitemap_url", "left")
+    pages = read.groupBy(site).agg(F.sum(F.coalesce("n", F.lit(0)) - F.col("take")).alias("pages_left"))
+    known = seeds.select(site, "sitemap_url").unionByName(read.select(site, F.explode("children").alias("sitemap_url"))).distinct()
+    unread = known.join(files.select(site, "sitemap_url"), [site, "sitemap_url"], "left_anti")
+    left = unread.groupBy(site).agg(F.count(F.lit(1)).alias("files_left"))
+    return pages.join(left, site, "left").select(site, F.coalesce("files_left", F.lit(0)).alias("files_left"), "pages_left")
 
 
 def walk_sitemaps(seeds: DataFrame, parsed: DataFrame, site: str = "site", **limits: int) -> DataFrame:
