@@ -338,9 +338,9 @@ ORACLE = {
         SELECT page_id, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')) AS hs FROM pages))""",
     "text_emails": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {EMAIL}))) AS email FROM documents",
     "valid_emails": f"""SELECT DISTINCT doc_id, email, CAST({valid('email')} AS INTEGER) AS valid FROM (SELECT doc_id, unnest(list_append(
-        regexp_extract_all(text, {EMAIL}), CASE doc_id % 9 WHEN 0 THEN 'logo@2x.png' WHEN 1 THEN 'noreply@shop.io' WHEN 2 THEN 'a' || doc_id || '@sub.acme.com'
-        WHEN 3 THEN 'u00a0@konfront.io' WHEN 4 THEN 'x@example.xyz' WHEN 5 THEN 'Sales.' || doc_id || '@shop.io' WHEN 6 THEN 'a@shop.io?subject=x'
-        WHEN 7 THEN 'house.js@0.0.h' || doc_id || '.mjs' ELSE 'not-an-address' END)) AS email FROM documents)""",
+        regexp_extract_all(text, {EMAIL}), CASE doc_id % 9 WHEN 0 THEN 'banner@3x.webp' WHEN 1 THEN 'noreply@shop.io' WHEN 2 THEN 'a' || doc_id || '@sub.acme.com'
+        WHEN 3 THEN 'u00e9@talheim.net' WHEN 4 THEN 'kontor@example.shop' WHEN 5 THEN 'Sales.' || doc_id || '@shop.io' WHEN 6 THEN 'w@laden.net?cc=z'
+        WHEN 7 THEN 'pack@3.1.r' || doc_id || '.wasm' ELSE 'not-an-address' END)) AS email FROM documents)""",
     "blocked_domain_rows": """SELECT doc_id, 'c' || doc_id || '@mail.' || source || '-' || (doc_id % 25) || '.sample.org' AS email FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 25 % 3 = 0 AND b.source = d.source AND b.doc_id % 25 = d.doc_id % 25)""",
     "protected_emails": using("sp", f"""SELECT page_id, {decoded("regexp_extract(html, 'data-cfemail=.([A-Fa-f0-9]+)', 1)")} AS email
@@ -371,6 +371,13 @@ ORACLE = {
     "mx_filtered": using("res", """SELECT r.site AS input_url, array_to_string(list_sort(list_filter(r.emails, lambda e: NOT list_contains(k.bad, split_part(e, '@', 2)))), ' ') AS emails
         FROM res r, (SELECT list(DISTINCT host) AS bad FROM sp WHERE length(host) % 3 = 0) k"""),
     "email_dictionary": using("addr", "SELECT site AS input_url, email, role, CAST(is_own AS INTEGER) AS is_own, CAST(from_mailto AS INTEGER) AS from_mailto FROM addr"),
+    "address_pages": using("addr", """SELECT a.site AS input_url, a.email, any_value(a.role) AS role, CAST(any_value(a.is_own) AS INTEGER) AS is_own,
+        CAST(any_value(a.from_mailto) AS INTEGER) AS from_mailto, arg_min(s.url, s.page_id) AS source_page, count(DISTINCT s.url) AS n_pages
+        FROM addr a JOIN (SELECT site, url, page_id, unnest(emails) AS email FROM sig) s ON s.site = a.site AND s.email = a.email GROUP BY a.site, a.email"""),
+    "site_facts": using("cat lists", """SELECT r.site AS input_url, len(r.emails) AS n_emails, coalesce(p.n_own, 0) AS n_own, r.ok AS pages_ok, r.failed AS pages_failed, r.blocked_by,
+        CAST(r.form AS INTEGER) AS has_contact_form, coalesce(l.primary_email, '') AS primary_email, c.category, CAST(coalesce(p.low, false) AS INTEGER) AS low_quality
+        FROM res r JOIN cat c ON c.site = r.site LEFT JOIN lists l ON l.site = r.site LEFT JOIN (SELECT site, count(*) FILTER (is_own) AS n_own,
+          NOT bool_or(is_own) OR max(CASE WHEN is_own AND n = 1 THEN role END) = 'other' AS low FROM placed GROUP BY site) p ON p.site = r.site"""),
     "protected_results": using("placed", f"""SELECT r.site AS input_url, coalesce(string_agg(p.email, ' ' ORDER BY p.email) FILTER (p.role <> 'personal'), '') AS impersonal,
         coalesce(string_agg(p.shown, '; ' ORDER BY p.n) FILTER (p.is_own), '') AS own_domain_emails,
         coalesce(string_agg(p.shown, '; ' ORDER BY p.n) FILTER (NOT p.is_own), '') AS other_domain_emails

@@ -13,6 +13,7 @@ from sitesignal.functions import emails as E
 from sitesignal.functions import signals as S
 from sitesignal.functions.page_scan import scan
 from sitesignal.functions.urls import bare_domain, base_url, brand_label, netloc, path_segments, path_tokens, url_path
+from sitesignal.operators import addresses as L
 from sitesignal.operators import attribution as A
 from sitesignal.operators import candidates as C
 from sitesignal.operators import fetchlog as H
@@ -217,9 +218,9 @@ def text_emails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def valid_emails(spark: SparkSession, d: str) -> DataFrame:
-    mixed = F.expr("""CASE doc_id % 9 WHEN 0 THEN 'logo@2x.png' WHEN 1 THEN 'noreply@shop.io' WHEN 2 THEN 'a' || doc_id || '@sub.acme.com'
-        WHEN 3 THEN 'u00a0@konfront.io' WHEN 4 THEN 'x@example.xyz' WHEN 5 THEN 'Sales.' || doc_id || '@shop.io' WHEN 6 THEN 'a@shop.io?subject=x'
-        WHEN 7 THEN 'house.js@0.0.h' || doc_id || '.mjs' ELSE 'not-an-address' END""")
+    mixed = F.expr("""CASE doc_id % 9 WHEN 0 THEN 'banner@3x.webp' WHEN 1 THEN 'noreply@shop.io' WHEN 2 THEN 'a' || doc_id || '@sub.acme.com'
+        WHEN 3 THEN 'u00e9@talheim.net' WHEN 4 THEN 'kontor@example.shop' WHEN 5 THEN 'Sales.' || doc_id || '@shop.io' WHEN 6 THEN 'w@laden.net?cc=z'
+        WHEN 7 THEN 'pack@3.1.r' || doc_id || '.wasm' ELSE 'not-an-address' END""")
     found = I.table(spark, d, "documents").select(
         "doc_id", F.explode(F.concat(E.plain_emails("text"), F.array(mixed))).alias("email"))
     return found.select("doc_id", "email", flag(E.is_valid_email("email", OPEN_DOMAINS)).alias("valid")).distinct()
@@ -336,10 +337,35 @@ def _site_results(spark: SparkSession, d: str) -> DataFrame:
     return sites.select(
         F.col("site").alias("input_url"), F.col("host").alias("domain"), "emails", "mailto_emails", "phones", "whatsapp_links",
         "social_links", "source_pages", "pages_ok", "pages_failed", "blocked_by", "has_contact_form", *G.METADATA,
-        F.expr("CASE WHEN length(host) % 7 = 0 THEN 'none' WHEN length(host) % 7 = 1 THEN '' ELSE 'sitemap' END").alias("method"),
+        F.expr(METHOD_SQL).alias("method"),
         failed.alias("fetch_failed"), error.alias("error"))
 
 
+METHOD_SQL = "CASE WHEN length(host) % 7 = 0 THEN 'none' WHEN length(host) % 7 = 1 THEN '' ELSE 'sitemap' END"
+
+
+def _long_form(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Addresses and facts of every site, from signals that are scanned once."""
+    pages = stage(_signals(spark, d).withColumn("rank", F.col("page_id")), "signals")
+    addresses = L.site_addresses(pages, ["site", "host"], "host")
+    facts = L.site_facts(pages, addresses, ["site", "host"]).withColumn("method", F.expr(METHOD_SQL))
+    return addresses, facts.withColumnRenamed("site", "input_url")
+
+
+def address_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every address of a site with the first page that shows it."""
+    return _long_form(spark, d)[0].select(
+        F.col("site").alias("input_url"), "email", "role", flag("is_own").alias("is_own"), flag("from_mailto").alias("from_mailto"),
+        "source_page", "n_pages")
+
+
+def site_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _long_form(spark, d)[1].select(
+        "input_url", "n_emails", "n_own", "pages_ok", "pages_failed", "blocked_by", flag("has_contact_form").alias("has_contact_form"),
+        F.coalesce("best.email", F.lit("")).alias("primary_email"), L.fact_category(F.col("method")).alias("category"),
+        flag(L.fact_low_quality()).alias("low_quality"))
+
+
 def ranked_emails(spark: SparkSession, d: str) -> DataFrame:
     both = A.ranked_emails(_site_results(spark, d))
     names = lambda c: F.array_join(F.transform(c, lambda e: e["email"]), " ")
@@ -347,10 +373,8 @@ def ranked_emails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def primary_email(spark: SparkSession, d: str) -> DataFrame:
-    both = A.ranked_emails(_site_results(spark, d))
-    best = A.primary_of(F.col("ranked_own"), F.col("ranked_other"))
-    return both.select(
-        "input_url", F.coalesce(best["email"], F.lit("")).alias("primary_email"), F.coalesce(best["role"], F.lit("")).alias("primary_role"))
+    return _long_form(spark, d)[1].select(
+        "input_url", F.coalesce("best.email", F.lit("")).alias("primary_email"), F.coalesce("best.role", F.lit("")).alias("primary_role"))
 
 
 def mx_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -416,7 +440,7 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _categorized(spark: SparkSession, d: str) -> DataFrame:
-    return G.categorize(G.salvage_gate(_site_results(spark, d)))
+    return _long_form(spark, d)[1].withColumn("category", L.fact_category(F.col("method")))
 
 
 def categories(spark: SparkSession, d: str) -> DataFrame:
@@ -438,7 +462,7 @@ def retry_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def low_quality(spark: SparkSession, d: str) -> DataFrame:
-    return G.low_quality(_site_results(spark, d)).select("input_url")
+    return _long_form(spark, d)[1].filter(L.fact_low_quality()).select("input_url")
 
 
 def second_pass_list(spark: SparkSession, d: str) -> DataFrame:
@@ -637,7 +661,7 @@ QUERIES = {f.__name__: f for f in [
     sitemap_candidates, sitemap_parse, sitemap_walk, sitemap_leftovers, sitemap_leftovers_tight, sitemap_pages, usable_captures, page_text, page_links, text_emails,
     valid_emails, blocked_domain_rows, obfuscated_emails, protected_emails, mailto_emails, json_emails, markup_emails,
     page_emails, phones, document_phones, whatsapp_links, social_links, block_signatures, contact_forms, page_metadata,
-    own_vs_other, email_roles, ranked_emails, primary_email, mx_filtered, email_dictionary, protected_results, site_rollup,
+    own_vs_other, email_roles, address_pages, site_facts, ranked_emails, primary_email, mx_filtered, email_dictionary, protected_results, site_rollup,
     merged_passes, empty_status, salvage, result_rows, categories, batch_summary, retry_list, retry_queue, low_quality,
     second_pass_list, run_counters, latest_per_target, resume_remaining, hit_rate_trend, history_lines, target_lines, target_positions,
     job_keys, fetch_outcome, retry_after, backoff_audit, politeness_audit, crawl_schedule, hit_rate_by_window,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitesignal import fixed_values as fv
 from sitesignal.functions.urls import strip_blanks
-from sitesignal.operators.skew import position_in_key, previous_in_time
+from sitesignal.operators.skew import join_by_load, position_in_key, previous_in_time
 
 
 def fetch_outcome(log: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def backoff_audit(log: DataFrame, intervals: DataFrame | None = None) -> DataFra
     steps = previous_in_time(log, ["url"], "requested_at", ["attempt"], ["requested_at", "attempt", "status", "retry_after"])
     retries = steps.filter((F.col("attempt") > 0) & (F.col("prev_attempt") == F.col("attempt") - 1))
     if intervals is not None:
-        retries = retries.join(intervals, "domain", "left")
+        retries = join_by_load(retries, intervals, "domain")
     else:
         retries = retries.withColumn("min_interval", F.lit(None).cast("double"))
     waited = (
@@ -73,7 +73,7 @@ def politeness_audit(log: DataFrame, intervals: DataFrame | None = None, tie: st
         F.unix_micros(F.col("requested_at").cast("timestamp")) - F.unix_micros(F.col("prev_requested_at").cast("timestamp"))
     ) / 1e6
     if intervals is not None:
-        rows = rows.join(intervals, "domain", "left")
+        rows = join_by_load(rows, intervals, "domain")
     else:
         rows = rows.withColumn("min_interval", F.lit(None).cast("double"))
     rows = rows.withColumn("min_interval", F.coalesce("min_interval", F.lit(fv.DEFAULT_MIN_INTERVAL_SECONDS)))
@@ -89,7 +89,7 @@ def crawl_schedule(candidates: DataFrame, intervals: DataFrame | None = None) ->
     """
     placed = position_in_key(candidates, ["domain"], ["rank", "site", "url"])
     if intervals is not None:
-        placed = placed.join(intervals, "domain", "left")
+        placed = join_by_load(placed, intervals, "domain")
     else:
         placed = placed.withColumn("min_interval", F.lit(None).cast("double"))
     interval = F.coalesce("min_interval", F.lit(fv.DEFAULT_MIN_INTERVAL_SECONDS))

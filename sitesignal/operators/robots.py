@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitesignal import fixed_values as fv
 from sitesignal.functions.files import parse_robots
 from sitesignal.functions.urls import robots_path, strip_blanks
+from sitesignal.operators.skew import join_by_load
 
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85  ]"
 
@@ -68,7 +69,7 @@ def robots_filter(urls: DataFrame, policy: DataFrame, on: str = "host", url: str
 
 
 def with_allowed(urls: DataFrame, policy: DataFrame, on: str = "host", url: str = "url") -> DataFrame:
-    joined = urls.join(policy.select(on, "rules"), on, "left")
+    joined = join_by_load(urls, policy.select(on, "rules"), on)
     # most hosts have no rules: the path is only quoted where there is something to match
     allowed = F.when(F.coalesce(F.size("rules"), F.lit(0)) <= 0, F.lit(True)).otherwise(
         is_allowed(F.col("rules"), robots_path(url))

@@ -40,6 +40,28 @@ def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return picked.select(*keys, F.col(f"_first.{order}").alias(order), *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
+def join_by_load(rows: DataFrame, lookup: DataFrame, on: str, shares: int = 256) -> DataFrame:
+    """Left join of ``rows`` with the one row ``lookup`` has per key, whatever share of the rows a key has.
+
+    Keys are counted first. A key with more than one part in ``shares`` of all
+    rows is hot; there are fewer than ``shares`` of them, which bounds the
+    table that is broadcast. The rows of a hot key are dealt by their hash over
+    as many copies of its lookup row as it has parts. A null key finds nothing.
+    ``lookup`` has no column of ``rows`` but the key.
+    """
+    loads = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    total = loads.agg(F.sum("_n")).scalar()
+    hot = loads.filter(F.col("_n") * shares > total).select(
+        F.col(on).alias("_hot"), F.ceil(F.col("_n") * shares / total).cast("int").alias("_copies"))
+    hot = F.broadcast(stage(hot, "hot-keys"))  # both sides must see the same counts, also when a task is run again
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = rows.join(hot, rows[on].eqNullSafe(hot["_hot"]), "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), copies).cast("int")).drop("_hot", "_copies")
+    spare = lookup.join(hot, lookup[on] == hot["_hot"], "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_hot", "_copies")
+    return dealt.join(spare, [on, "_part"], "left").drop("_part")
+
+
 def previous_in_time(df: DataFrame, keys: list[str], ts: str, order: list[str], values: list[str],
                      slice_seconds: int = 600, prefix: str = "prev_") -> DataFrame:
     """Adds the previous row's ``values`` within each key, ordered by ``ts`` then ``order``.
