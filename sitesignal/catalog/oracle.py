@@ -409,6 +409,13 @@ ORACLE = {
         count(*) / 50.0::DOUBLE AS rate, (10000000 - count(*)) / (count(*) / 50.0::DOUBLE) AS eta_seconds FROM res"""),
     "latest_per_target": """SELECT 'https://s' || conv_id || '.sample.net' AS input_url, md5(arg_max(text, turn)) AS content, arg_max(role, turn) AS role,
         min(conv_id * 1000 + turn) AS first_seq FROM conversations GROUP BY conv_id""",
+    "upserted_targets": """SELECT 'https://s' || conv_id || '.sample.net' AS input_url, md5(arg_max(text, turn)) AS content, arg_max(role, turn) AS role,
+        min(conv_id * 1000 + turn) AS first_seq FROM conversations GROUP BY conv_id""",
+    "upserted_batches": """SELECT 'https://s' || conv_id || '.sample.net' AS input_url, md5(arg_max(text, turn)) AS content, arg_max(role, turn) AS role
+        FROM conversations GROUP BY conv_id""",
+    "streamed_counters": """SELECT count(*) AS done, count(*) FILTER (event_type = 'click') AS with_email, count(*) FILTER (event_type = 'error') AS errors FROM events""",
+    "newest_results": """SELECT event_id, 'https://u' || user_id || '.sample.net' AS input_url, epoch_us(ts) AS at FROM events
+        ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 40""",
     "resume_remaining": using("sp", "SELECT DISTINCT site AS input_url FROM sp WHERE site NOT IN (SELECT site FROM sp WHERE page_id % 4 = 1)"),
     "hit_rate_trend": using("hist", """SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS at, total, email_found, round(rate, 9) AS hit_rate,
         round(rate - lag(rate) OVER (ORDER BY hour), 9) AS hit_rate_change FROM (SELECT *, email_found / total AS rate FROM hist ORDER BY hour DESC LIMIT 20)"""),

@@ -26,8 +26,10 @@ from sitesignal.plans.analyze import analyze, apply_rendered_pass
 from sitesignal.session import spread, stage, stage_dir
 from sitesignal.sources.sinks import job_key, write_results_csv
 from sitesignal.sources.tables import decoded_captures, last_summaries, read_completed, read_target_list, targets_of_lines, usable_text
+from sitesignal.streaming import state_tables as T
 from sitesignal.streaming.streams import (
-    GIVE_UP_OUTPUT, hit_rate_windows, rocksdb_state, run_until_idle, stream_extract, stream_give_up_by_clock, stream_retry_queue,
+    GIVE_UP_OUTPUT, compact_upserts, hit_rate_windows, read_upserted, rocksdb_state, run_until_idle, stream_extract, stream_give_up_by_clock,
+    stream_retry_queue, stream_upsert_results,
 )
 
 # the given addresses all sit under example.*, so queries about them allow those names
@@ -475,10 +477,7 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_per_target(spark: SparkSession, d: str) -> DataFrame:
-    rows = I.table(spark, d, "conversations").select(
-        F.expr("'https://s' || conv_id || '.sample.net'").alias("input_url"), F.md5("text").alias("content"), "role",
-        F.expr("conv_id * 1000 + turn").alias("seq"))
-    return G.latest_per_target(rows)
+    return G.latest_per_target(_turns(I.table(spark, d, "conversations")))
 
 
 def resume_remaining(spark: SparkSession, d: str) -> DataFrame:
@@ -610,6 +609,56 @@ def given_up_targets(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(GIVE_UP_OUTPUT).parquet(f"{path}/rows").drop("gave_up_at")
 
 
+def _turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
+        F.expr("'https://s' || conv_id || '.sample.net'").alias("input_url"), F.md5("text").alias("content"), "role",
+        F.expr("conv_id * 1000 + turn").alias("seq"))
+
+
+def upserted_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The turns as a stream of rows per target; the last one of each is read from the stream's state."""
+    schema = I.table(spark, d, "conversations").schema
+    rows = _turns(spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d))
+    path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    T.keep_latest(rows, path).awaitTermination()
+    return T.read_latest(spark, path, rows.schema)
+
+
+def upserted_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows in several batches, each a folder of its own, then compacted into one."""
+    path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    turns = _turns(I.table(spark, d, "conversations"))
+    turns.repartition(6, "input_url").write.parquet(f"{path}/source")
+    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/source")
+    stream_upsert_results(source, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    last = spark.read.parquet(f"{path}/rows/part-*").agg(F.max("batch_id")).first()[0]
+    compact_upserts(spark, f"{path}/rows", last, f"{path}/compacted")
+    return read_upserted(spark, f"{path}/compacted")
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(I.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def streamed_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Running totals over the events as results, read from the stream's state."""
+    results = _event_stream(spark, d).select(
+        F.expr("CASE WHEN event_type = 'click' THEN array('a@b.io') ELSE array() END").alias("emails"),
+        F.expr("CASE WHEN event_type = 'error' THEN 'failed' ELSE '' END").alias("error"))
+    path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    T.keep_counters(results, path).awaitTermination()
+    return T.read_counters(spark, path)
+
+
+def newest_results(spark: SparkSession, d: str) -> DataFrame:
+    """The newest events, held as list state in salted parts."""
+    rows = _event_stream(spark, d).select("event_id", F.expr("'https://u' || user_id || '.sample.net'").alias("input_url"), F.expr(I.INSTANT_SQL).alias("finished_at"))
+    path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    T.keep_newest(rows, path).awaitTermination()
+    newest = T.read_newest(spark, path, rows.schema)
+    return newest.select("event_id", "input_url", F.unix_micros("finished_at").alias("at"))
+
+
 def streamed_emails(spark: SparkSession, d: str) -> DataFrame:
     """The page addresses again, extracted from a stream of the pages."""
     schema = I.table(spark, d, "pages").schema
@@ -665,5 +714,5 @@ QUERIES = {f.__name__: f for f in [
     merged_passes, empty_status, salvage, result_rows, categories, batch_summary, retry_list, retry_queue, low_quality,
     second_pass_list, run_counters, latest_per_target, resume_remaining, hit_rate_trend, history_lines, target_lines, target_positions,
     job_keys, fetch_outcome, retry_after, backoff_audit, politeness_audit, crawl_schedule, hit_rate_by_window,
-    results_round_trip, given_up_targets, streamed_emails, site_analysis, rendered_pass,
+    results_round_trip, given_up_targets, upserted_targets, upserted_batches, streamed_counters, newest_results, streamed_emails, site_analysis, rendered_pass,
 ]}
