@@ -85,7 +85,7 @@ def top_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def early_stop_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = skew.top_k(I.page_hosts(spark, d), ["site"], [F.col("page_id")], fv.MAX_PAGES_PER_SITE, ["page_id"])
+    pages = skew.top_k(I.page_hosts(spark, d), ["site"], [F.col("page_id")], fv.MAX_PAGES_PER_SITE)
     kept = C.early_stop(pages.withColumn("has_email", F.col("page_id") % 5 == 0), ["site"], wave_size=2, min_pages=3)
     return kept.select("site", "page_id", F.col("wave").cast("bigint").alias("wave"))
 

@@ -1,11 +1,10 @@
-"""Small Arrow UDFs around standard-library parsers: robots.txt, sitemap XML, link joins."""
+"""Small Arrow UDFs around standard-library parsers: sitemap XML, link joins."""
 
 from __future__ import annotations
 
 import gzip
 import zlib
 from urllib.parse import urljoin
-from urllib.robotparser import RobotFileParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -14,32 +13,9 @@ from pyspark.sql import functions as F
 
 from sitesignal.functions.urls import col_of
 
-_ROBOTS_TYPE = pa.struct([
-    ("rules", pa.list_(pa.struct([("allow", pa.bool_()), ("path", pa.string())]))),
-    ("crawl_delay", pa.float64()),
-])
 _SITEMAP_TYPE = pa.struct([("children", pa.list_(pa.string())), ("pages", pa.list_(pa.string()))])
 
 
-def robots_fields(body: str) -> dict:
-    """Rules and delay of the group that applies to every agent, in file order."""
-    parser = RobotFileParser()
-    try:
-        parser.parse(body.splitlines())
-    except Exception:  # an unreadable file allows everything
-        return {"rules": [], "crawl_delay": None}
-    groups = parser.entries + ([parser.default_entry] if parser.default_entry else [])
-    for group in groups:
-        if group.applies_to("*"):
-            rules = [{"allow": r.allowance, "path": r.path} for r in group.rulelines]
-            try:
-                delay = None if group.delay is None else float(group.delay)
-            except OverflowError:  # a number beyond all use is no delay
-                delay = None
-            return {"rules": rules, "crawl_delay": delay}
-    return {"rules": [], "crawl_delay": None}
-
-
 def sitemap_fields(body: bytes) -> dict:
     """Child sitemaps of an index, or page URLs of a URL set; both empty when unreadable."""
     children, pages = [], []
@@ -72,15 +48,6 @@ def _join(base: str, href: str):
         return None
 
 
-def parse_robots(body: Column | str) -> Column:
-    @F.arrow_udf("struct<rules:array<struct<allow:boolean,path:string>>,crawl_delay:double>")
-    def robots_of(bodies: pa.Array) -> pa.Array:
-        rows = [None if b is None else robots_fields(b) for b in bodies.to_pylist()]
-        return pa.array(rows, type=_ROBOTS_TYPE)
-
-    return robots_of.asNondeterministic()(col_of(body))
-
-
 def parse_sitemap(body: Column | str) -> Column:
     @F.arrow_udf("struct<children:array<string>,pages:array<string>>")
     def sitemap_of(bodies: pa.Array) -> pa.Array:

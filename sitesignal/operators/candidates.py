@@ -39,7 +39,7 @@ def score_contact_urls(urls: DataFrame, url: str = "url", keywords=fv.CONTACT_KE
 
 def top_candidates(scored: DataFrame, keys: list[str], k: int = fv.MAX_PAGES_PER_SITE) -> DataFrame:
     """Best ``k`` per site; equal scores keep the input order ``ord``."""
-    return top_k(scored, keys, [F.col("score").desc(), F.col("ord"), F.col("url")], k, ["url"])
+    return top_k(scored, keys, [F.col("score").desc(), F.col("ord"), F.col("url")], k)
 
 
 def footer_links(base: Column, page: Column) -> Column:

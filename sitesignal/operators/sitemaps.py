@@ -54,7 +54,7 @@ def walk_files(seeds: DataFrame, parsed: DataFrame, site: str = "site",
         # all that can still be read is among the first max_files different children
         F.slice(F.array_distinct("children"), 1, max_files).alias("children"))
     start = first_per_key(seeds.select(site, "sitemap_url", F.col("ord").cast("bigint").alias("ord")), [site, "sitemap_url"], "ord")
-    start = top_k(start, [site], [F.col("ord"), F.col("sitemap_url")], max_files, ["sitemap_url"], rank="_i")
+    start = top_k(start, [site], [F.col("ord"), F.col("sitemap_url")], max_files, rank="_i")
     frontier = start.groupBy(site).agg(F.array_sort(F.collect_list(F.struct("_i", "sitemap_url"))).alias("_next")).select(
         site, F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<string>").alias("seen"),
         F.col("_next.sitemap_url").alias("next"))

@@ -12,23 +12,16 @@ from pyspark.sql import functions as F
 
 from sitesignal.session import stage
 
-SALTS = 64
 
-
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, spread_by: list[str], rank: str = "rank",
-          salts: int = SALTS) -> DataFrame:
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key in the given order, numbered from 1.
 
-    Each salted part of a key keeps its own first ``k`` rows, so the last step
-    sees at most ``salts * k`` rows of a key. ``order`` must be a total order.
+    Spark limits each key to ``k`` rows in every task before the shuffle
+    (WindowGroupLimit, for ``k`` up to 1000), so the window sees at most ``k``
+    rows of a key per task of the input. ``order`` must be a total order.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
-        .withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
-    )
+    return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -82,8 +75,8 @@ def previous_in_time(df: DataFrame, keys: list[str], ts: str, order: list[str],
     return out.drop("_prev", "_carry", "_slice")
 
 
-def position_in_key(df: DataFrame, keys: list[str], order: list[str], position: str = "position") -> DataFrame:
-    """Row number per key in the given order; equal rows come in any order among themselves.
+def position_in_key(df: DataFrame, keys: list[str], order: list[str], ties: list[str] | None = None, position: str = "position") -> DataFrame:
+    """Row number per key by ``order``, then ``ties``; equal rows come in any order among themselves.
 
     All rows are sorted into ranges of (key, order), so a hot key lies in many
     of them. A row's number over the whole table is its place in its range plus
@@ -91,7 +84,7 @@ def position_in_key(df: DataFrame, keys: list[str], order: list[str], position:
     the key's first row. The counts joined back are one row per key and range,
     so no join has more rows of a key than a range holds.
     """
-    by = [*keys, *order]
+    by = [*keys, *order, *(ties or [])]
     placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
     placed = stage(placed, "positions").withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_least"), F.count(F.lit(1)).alias("_n"))

@@ -1,4 +1,6 @@
 import gzip
+import random
+from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import functions as F
 
@@ -41,6 +43,37 @@ def test_delay_and_declared(table):
     assert [(r.ord, r.sitemap_url) for r in R.declared_sitemaps(maps).orderBy("ord").collect()] == [(0, "https://h/1.xml"), (1, "https://h/2.xml")]
 
 
+def stated(body):
+    """Rules and delay of the group for every agent, by the standard library."""
+    parser = RobotFileParser()
+    parser.parse(body.splitlines())
+    groups = parser.entries + ([parser.default_entry] if parser.default_entry else [])
+    group = next((g for g in groups if g.applies_to("*")), None)
+    if group is None:
+        return [], None
+    return [(r.allowance, r.path) for r in group.rulelines], None if group.delay is None else float(group.delay)
+
+
+def test_groups_match_the_standard_library(table):
+    dice = random.Random(11)
+    names = ["User-agent", "user-AGENT ", " Disallow", "Allow", "ALLOW", "Crawl-delay", "Request-rate", "Sitemap", "Noindex", "User-agent", "Disallow"]
+    values = ["*", "", "bot", "%2A", "/a", "/a/b?x=1", "/ä b", "/%7Ejoe", "/q?", "/p;", "/p;v=1;", "/a%23", "/a%2Fb", "7", "0.5", " 12 ", "1/5", "/x # note", "*.pdf$", "/a:b", "/%e4%b8%ad/", "/100%"]
+    breaks = ["\n", "\n", "\n", "\r\n", "\r", "\n\n", "\n \n", "\n# c\n", "\x0b", "\u2028"]
+    bodies = ["", "\n", "x", "User-agent: *", "Disallow: /", "User-agent:\nDisallow: /n\n\nUser-agent: *\nDisallow: /s", "User-agent: *\nCrawl-delay: 3\nCrawl-delay: x"]
+    for _ in range(400):
+        bodies.append("".join(f"{dice.choice(names)}{dice.choice([':', ': ', ' :', ''])}{dice.choice(values)}{dice.choice(breaks)}" for _ in range(dice.randrange(1, 14))))
+    rows = R.robots_policy(table([(str(i), b) for i, b in enumerate(bodies)] + [("none", None)], "host string, body string")).collect()
+    got = {r.host: ([(x.allow, x.path) for x in r.rules], r.crawl_delay) for r in rows}
+    assert got.pop("none") == ([], None)
+    wrong = [(b, got[str(i)], stated(b)) for i, b in enumerate(bodies) if got[str(i)] != stated(b)]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_robots_need_no_python(table):
+    policy = R.robots_policy(table([("h", "User-agent: *")], "host string, body string"))
+    assert "Python" not in policy._jdf.queryExecution().executedPlan().toString()
+
+
 def parsed(table, bodies):
     df = table([(str(i), bytearray(b)) for i, b in enumerate(bodies)], "url string, body binary")
     return {int(r.url): (r.children, r.pages) for r in M.parsed_sitemaps(df).collect()}

@@ -69,7 +69,8 @@ def test_reachable_gate(table):
 def test_top_k_matches_brute_force_on_a_hot_key(table):
     rows = [("hot" if i % 3 else f"k{i % 7}", (i * 7919) % 1000, i) for i in range(3000)]
     df = table(rows, "k string, v int, i int")
-    got = skew.top_k(df, ["k"], [F.col("v").desc(), F.col("i")], 4, ["i"])
+    got = skew.top_k(df, ["k"], [F.col("v").desc(), F.col("i")], 4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # before the shuffle and after
     want = set()
     for k in {r[0] for r in rows}:
         ordered = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
