@@ -84,6 +84,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files, be it one file or a folder of them.
+
+    A pattern for the name lets Spark take either; a plain path to a stream has to be a folder.
+    """
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def site_pages(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, site, url, status, html)``; ``pages`` may be a stream of the table."""
     pages = table(spark, sf_dir, "pages") if pages is None else pages

@@ -598,9 +598,7 @@ def _run_stream(spark: SparkSession, query: DataFrame, schema) -> DataFrame:
 
 def given_up_targets(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of the events as targets: a view starts one, a click finishes it. Given up by the clock, at once, in a stream over the events."""
-    schema = I.table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    progress = source.select(F.expr("'https://u' || user_id || '-' || event_id % 37 || '.sample.net'").alias("input_url"), F.expr(
+    progress = I.table_stream(spark, d, "events").select(F.expr("'https://u' || user_id || '-' || event_id % 37 || '.sample.net'").alias("input_url"), F.expr(
         "CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'finished' ELSE 'other' END").alias("kind"))
     path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
     with rocksdb_state(spark):
@@ -617,8 +615,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 def upserted_targets(spark: SparkSession, d: str) -> DataFrame:
     """The turns as a stream of rows per target; the last one of each is read from the stream's state."""
-    schema = I.table(spark, d, "conversations").schema
-    rows = _turns(spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d))
+    rows = _turns(I.table_stream(spark, d, "conversations"))
     path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
     T.keep_latest(rows, path).awaitTermination()
     return T.read_latest(spark, path, rows.schema)
@@ -636,13 +633,9 @@ def upserted_batches(spark: SparkSession, d: str) -> DataFrame:
     return read_upserted(spark, f"{path}/compacted")
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema(I.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-
-
 def streamed_counters(spark: SparkSession, d: str) -> DataFrame:
     """Running totals over the events as results, read from the stream's state."""
-    results = _event_stream(spark, d).select(
+    results = I.table_stream(spark, d, "events").select(
         F.expr("CASE WHEN event_type = 'click' THEN array('a@b.io') ELSE array() END").alias("emails"),
         F.expr("CASE WHEN event_type = 'error' THEN 'failed' ELSE '' END").alias("error"))
     path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -652,7 +645,7 @@ def streamed_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def newest_results(spark: SparkSession, d: str) -> DataFrame:
     """The newest events, held as list state in salted parts."""
-    rows = _event_stream(spark, d).select("event_id", F.expr("'https://u' || user_id || '.sample.net'").alias("input_url"), F.expr(I.INSTANT_SQL).alias("finished_at"))
+    rows = I.table_stream(spark, d, "events").select("event_id", F.expr("'https://u' || user_id || '.sample.net'").alias("input_url"), F.expr(I.INSTANT_SQL).alias("finished_at"))
     path = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
     T.keep_newest(rows, path).awaitTermination()
     newest = T.read_newest(spark, path, rows.schema)
@@ -661,9 +654,7 @@ def newest_results(spark: SparkSession, d: str) -> DataFrame:
 
 def streamed_emails(spark: SparkSession, d: str) -> DataFrame:
     """The page addresses again, extracted from a stream of the pages."""
-    schema = I.table(spark, d, "pages").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    captures = I.site_pages(spark, d, source).withColumn("fetched_at", F.timestamp_seconds("page_id"))
+    captures = I.site_pages(spark, d, I.table_stream(spark, d, "pages")).withColumn("fetched_at", F.timestamp_seconds("page_id"))
     found = stream_extract(captures, blocked_domains=OPEN_DOMAINS).select(
         F.unix_seconds("fetched_at").alias("page_id"), F.explode("emails").alias("email"))
     return _run_stream(spark, found, "page_id bigint, email string")
