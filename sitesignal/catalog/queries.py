@@ -23,7 +23,7 @@ from sitesignal.operators import sitemaps as M
 from sitesignal.operators import skew
 from sitesignal.operators.extraction import hrefs, page_signals
 from sitesignal.plans.analyze import analyze, apply_rendered_pass
-from sitesignal.session import spread, stage, stage_dir
+from sitesignal.session import page_batches, spread, stage, stage_dir
 from sitesignal.sources.sinks import job_key, write_results_csv
 from sitesignal.sources.tables import decoded_captures, last_summaries, read_completed, read_target_list, targets_of_lines, usable_text
 from sitesignal.streaming import state_tables as T
@@ -348,7 +348,8 @@ METHOD_SQL = "CASE WHEN length(host) % 7 = 0 THEN 'none' WHEN length(host) % 7 =
 
 def _long_form(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Addresses and facts of every site, from signals that are scanned once."""
-    pages = stage(_signals(spark, d).withColumn("rank", F.col("page_id")), "signals")
+    with page_batches(spark):
+        pages = stage(_signals(spark, d).withColumn("rank", F.col("page_id")), "signals")
     addresses = L.site_addresses(pages, ["site", "host"], "host")
     facts = L.site_facts(pages, addresses, ["site", "host"]).withColumn("method", F.expr(METHOD_SQL))
     return addresses, facts.withColumnRenamed("site", "input_url")
@@ -414,7 +415,8 @@ def site_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_passes(spark: SparkSession, d: str) -> DataFrame:
     """Even pages as the first pass, odd pages as the second."""
-    pages = stage(_signals(spark, d).withColumn("rank", F.col("page_id")), "signals")
+    with page_batches(spark):
+        pages = stage(_signals(spark, d).withColumn("rank", F.col("page_id")), "signals")
     first = G.rollup_site(pages.filter("page_id % 2 = 0"), ["site"])
     second = G.rollup_site(pages.filter("page_id % 2 = 1"), ["site"])
     m = G.merge_passes(first, second, ["site"])

@@ -117,3 +117,32 @@ def test_pages_are_scanned_once(table):
     df = page_signals(table([("u", "x", 200)], "url string, html string, status int"), keep=["url"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("ArrowEvalPython", plan)) == 1
+
+
+def test_fields_of_many_pages_are_packed_in_slices(monkeypatch):
+    """The fields held as Python objects stay within a slice, however many pages come at once."""
+    import pyarrow as pa
+
+    from sitesignal.functions import page_scan
+
+    held = []
+
+    def packed(rows, type):
+        held.append(sum(len(r["text"]) for r in rows if r))
+        return pa.array(rows, type=type)
+
+    monkeypatch.setattr(page_scan, "pa", type("Arrow", (), {"array": staticmethod(packed), "concat_arrays": pa.concat_arrays}))
+    pages = [None, "", *[f"<p>{'word ' * 1000}{i}</p><a href='/c{i}'>contact</a>" for i in range(600)], None]
+    found = page_scan.scan_array(pa.array(pages), HINT)
+    assert len(held) > 2 and max(held) <= page_scan.SLICE_CHARS + 6000
+    assert found.to_pylist() == [None if p is None else scan_page(p, HINT) for p in pages]
+    assert len(page_scan.scan_array(pa.array([], pa.string()), HINT)) == 0
+
+
+def test_page_batches_leave_the_session_as_it_was(spark):
+    from sitesignal.session import BATCH_BYTES, BATCH_ROWS, PAGE_BATCH_BYTES, page_batches
+
+    before = [spark.conf.get(k, None) for k in (BATCH_ROWS, BATCH_BYTES)]
+    with page_batches(spark):
+        assert [spark.conf.get(k) for k in (BATCH_ROWS, BATCH_BYTES)] == ["1000", str(PAGE_BATCH_BYTES)]
+    assert [spark.conf.get(k, None) for k in (BATCH_ROWS, BATCH_BYTES)] == before
