@@ -40,9 +40,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, lang, source, score, ids)``: the best piece segmentation of every document of the mix."""
-    rows = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("piece_bpe_32k.model"), n=1)
-    return rows.select("doc_id", "lang", "source", F.element_at("scores", 1).alias("score"), F.element_at("segmentations", 1).alias("ids"))
+    """``(doc_id, lang, source, score, ids, scores, segmentations)``: the N best piece segmentations of every document of the mix, and the best one by itself."""
+    rows = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("piece_bpe_32k.model"))
+    return rows.select("doc_id", "lang", "source", F.element_at("scores", 1).alias("score"), F.element_at("segmentations", 1).alias("ids"), "scores", "segmentations")
 
 
 def _tidy(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:

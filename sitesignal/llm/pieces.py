@@ -14,7 +14,8 @@ its best one in the N - 1 words of least loss at most, so the backward search
 is run for those words alone, and their N best combine to the text's.
 
 What a worker remembers of words is bounded in bytes and emptied when full, and
-so are the matrices of the forward pass; a worker keeps it from task to task.
+so are the matrices of the forward pass; a worker keeps it from task to task
+where texts are digested, and empties it at the end of a task where rows go on.
 
 A null or empty text has one segmentation, the empty one, with score 0. White
 space is kept as it is; decoding gives back the text exactly. Segmentations of
@@ -35,6 +36,7 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,8 @@ ENTRY_BYTES = 240
 BATCH_CHARS = 1 << 20
 #: values that a forward pass holds per table
 CELLS = 1 << 20
+#: the part of all these bounds where the rows go on to other steps, whose memory the executor holds as well
+ROWS_SHARE = 0.25
 #: words of more characters, or with a blank of their own, are solved one by one
 LONGEST = 32
 HASH_BASE = 0x9E3779B97F4A7C15
@@ -268,8 +272,11 @@ class Column:
 class Encoder:
     """Texts to their N best segmentations, with memories of words that are emptied when full."""
 
-    def __init__(self, pieces: Pieces, n: int):
-        self.pieces, self.n = pieces, n
+    def __init__(self, pieces: Pieces, n: int, share: float = 1.0):
+        self.pieces, self.n, self.share = pieces, n, share
+        self.forget()
+
+    def forget(self) -> None:
         self._forget()
         self._forget_searched()
 
@@ -294,7 +301,7 @@ class Encoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Forward pass over the words that are new."""
-        if self.remembered() > WORD_BYTES:
+        if self.remembered() > self.share * WORD_BYTES:
             self._forget()
         by_size: dict[int, list[str]] = {}
         for w in set().union(*texts).difference(self.row):
@@ -305,7 +312,7 @@ class Encoder:
                 gap = found[0][0] - found[1][0] if len(found) > 1 else inf
                 self._add([w], (np.array([found[0][0]]), np.array([gap]), np.array([len(found[0][1])]), np.array(found[0][1], np.int32)))
         for size, same in by_size.items():
-            step = max(1, CELLS // ((size + 1) * min(size + 1, self.pieces.longest)))
+            step = max(1, int(self.share * CELLS) // ((size + 1) * min(size + 1, self.pieces.longest)))
             for at in range(0, len(same), step):
                 part = same[at:at + step]
                 self._add(part, self.pieces.forward(part))
@@ -316,7 +323,7 @@ class Encoder:
         if found is None:
             found = self.pieces.nbest(BLANK + word, n, True)
             cost = 4 * len(word) + sum(ENTRY_BYTES + 8 * len(ids) for _, ids in found)
-            if self.searched_bytes + cost > SEARCH_BYTES:
+            if self.searched_bytes + cost > self.share * SEARCH_BYTES:
                 self._forget_searched()
             self.searched[word] = found
             self.searched_bytes += cost
@@ -363,21 +370,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, n: int) -> Encoder:
-    return Encoder(Pieces(path), n)
+def _encoder(path: str, n: int, share: float = 1.0) -> Encoder:
+    return Encoder(Pieces(path), n, share)
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Texts of a column, about ``BATCH_CHARS`` at a time."""
-    texts = column.to_pylist()
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 64
-        if size >= BATCH_CHARS:
-            yield at, i + 1, texts[at:i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts), texts[at:]
+def _slices(column: pa.Array, share: float = 1.0) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Texts of a column, about ``BATCH_CHARS`` at a time; no others are Python objects meanwhile."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < len(ends):
+        to = min(len(ends), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + share * BATCH_CHARS)) + 1)
+        yield at, to, column.slice(at, to - at).to_pylist()
+        at = to
 
 
 def encoded(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text") -> DataFrame:
@@ -386,16 +390,20 @@ def encoded(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text")
     rows = docs.drop(*names) if names - {text_col} else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, n)
-        for whole in batches:
-            for at, to, texts in _slices(whole[text_col]):
-                found = encoder.encode(texts)
-                flat = [ids for best in found for _, ids in best]
-                per_text = np.concatenate([[0], np.cumsum([len(best) for best in found])])
-                ids = list_column(np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32())
-                scores = list_column(np.array([s for best in found for s, _ in best], np.float64), per_text, pa.float64())
-                nested = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays([*whole.slice(at, to - at).columns, scores, nested], [*whole.schema.names, "scores", "segmentations"])
+        encoder = _encoder(path, n, ROWS_SHARE)
+        try:
+            for whole in batches:
+                for at, to, texts in _slices(whole[text_col], ROWS_SHARE):
+                    found = encoder.encode(texts)
+                    flat = [ids for best in found for _, ids in best]
+                    per_text = np.concatenate([[0], np.cumsum([len(best) for best in found])])
+                    ids = list_column(np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32())
+                    scores = list_column(np.array([s for best in found for s, _ in best], np.float64), per_text, pa.float64())
+                    nested = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), ids)
+                    yield pa.RecordBatch.from_arrays([*whole.slice(at, to - at).columns, scores, nested], [*whole.schema.names, "scores", "segmentations"])
+        finally:  # the worker lives on, idle or in other steps of its job
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([*rows.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("segmentations", T.ArrayType(T.ArrayType(T.IntegerType())))])
     return rows.mapInArrow(run, schema)

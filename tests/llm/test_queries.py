@@ -45,3 +45,43 @@ def test_pipeline_on_the_smallest_table(spark):
     bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").collect()}
     rows = corpus_pipeline.run(spark, SF).select("doc_id").collect()
     assert rows and not bad & {r.doc_id for r in rows}
+
+
+def test_pipeline_encodes_the_n_best_segmentations(spark):
+    import corpus_pipeline
+    from sitesignal.llm import pieces
+    from sitesignal.llm.queries import tokenizer_file
+
+    texts = {1: "a handful of words is enough for several segmentations", 2: "", 3: None}
+    docs = spark.createDataFrame([(i, "en", "web", t) for i, t in texts.items()], "doc_id long, lang string, source string, text string")
+    rows = {r.doc_id: r for r in corpus_pipeline.piece_encoding(spark, docs, SF).collect()}
+    vocabulary = pieces.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    want = pieces.Encoder(vocabulary, pieces.N_BEST).encode([texts[1]])[0]
+    assert [tuple(x) for x in rows[1].segmentations] == [tuple(ids) for _, ids in want] and len(want) == pieces.N_BEST > 1
+    assert rows[1].scores == [s for s, _ in want] and rows[1].ids == rows[1].segmentations[0] and rows[1].score == rows[1].scores[0]
+    assert {vocabulary.decode(ids) for ids in rows[1].segmentations} == {texts[1]}
+    assert all(rows[i].segmentations == [[]] and rows[i].ids == [] for i in (2, 3))
+
+
+def test_encoding_tasks_leave_no_words_in_their_worker(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from sitesignal.llm import pieces
+    from sitesignal.llm.queries import tokenizer_file
+
+    class Docs:
+        columns, schema = ["text"], StructType().add("text", "string")
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 200)
+    texts = [f"words of text {i}" for i in range(40)] + [None, "é" * 500, ""]
+    path = tokenizer_file("piece_bpe_32k.model")
+    batch = pa.RecordBatch.from_arrays([pa.array(["before", *texts]).slice(1)], ["text"])
+    parts = list(pieces.encoded(Docs(), path, 2).run(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 5 and [t for p in parts for t in p["text"].to_pylist()] == texts
+    encoder = pieces._encoder(path, 2, pieces.ROWS_SHARE)
+    assert not encoder.row and not encoder.searched and not encoder.remembered()
