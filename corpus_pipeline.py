@@ -3,6 +3,7 @@
 Each stage reads what the stage before it wrote, works on all of it, and its
 decisions take effect in the rows it returns. What a stage staged for itself is
 deleted when the next one begins, since its result has been written by then.
+What a stage computes on its way reaches Python in batches bounded in rows and bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sitesignal.llm import exact_dedup, mixing, near_dedup, pieces, quality
 from sitesignal.llm.queries import tokenizer_file
-from sitesignal.session import release, stage, staging_group
+from sitesignal.session import page_batches, release, stage, staging_group
 
 GROUP = "corpus-pipeline"
 
@@ -48,7 +49,7 @@ def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _tidy(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, GROUP)
-        with staging_group(GROUP):
+        with staging_group(GROUP), page_batches(spark):
             return step(spark, docs, sf_dir)
 
     return run_step

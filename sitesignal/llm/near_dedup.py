@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.llm.components import components
-from sitesignal.llm.text import kept_rows, list_column, lists, maybe_wanted, mix64, pieces_of, squeezed, windows, word_hashes
+from sitesignal.llm.text import kept_rows, list_column, lists, maybe_wanted, mix64, pieces_of, returning, squeezed, windows, word_hashes
 from sitesignal.session import stage
 
 WORDS = 5
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("id"), F.sha2(squeezed(docs[text_col]), 256).alias("sha"),
                        word_hashes(docs[text_col]).alias("words"))
     kind = rows.schema["id"].dataType.simpleString()
-    return stage(rows.mapInArrow(_sketch, f"rid long, id {kind}, sha string, n_shingles long, bands array<long>, signature binary"), "sketches")
+    return stage(rows.mapInArrow(returning(_sketch), f"rid long, id {kind}, sha string, n_shingles long, bands array<long>, signature binary"), "sketches")
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +171,16 @@ def _shingles_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("sha", F.sha2(squeezed(F.col("text")), 256))
     texts = maybe_wanted(texts, wanted, "w_sha", "sha").join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha")))
     texts = texts.select("rid", "text").dropDuplicates(["rid"]).select("rid", word_hashes(F.col("text")).alias("words"))
-    return stage(texts.mapInArrow(_shingle_sets, "rid long, shingles array<long>"), "shingles")
+    return stage(texts.mapInArrow(returning(_shingle_sets), "rid long, shingles array<long>"), "shingles")
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose shingle sets are similar."""
-    near = stage(_sided(pairs, nodes, "signature", "s").mapInArrow(_estimated, "a long, b long"), "near-pairs")
+    near = stage(_sided(pairs, nodes, "signature", "s").mapInArrow(returning(_estimated), "a long, b long"), "near-pairs")
     if near.isEmpty():
         return near
     sets = _shingles_of(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), nodes, docs, id_col, text_col)
-    return stage(_sided(near, sets, "shingles", "x").mapInArrow(_similar, "a long, b long"), "near-links")
+    return stage(_sided(near, sets, "shingles", "x").mapInArrow(returning(_similar), "a long, b long"), "near-links")
 
 
 def _tile_links(table: pa.Table) -> pa.Table:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitesignal.llm.text import list_column
+from sitesignal.llm.text import list_column, return_memory
 
 BLANK = "▁"
 UNUSED_SCORE = -1e8
@@ -403,7 +403,7 @@ def encoded(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text")
                     yield pa.RecordBatch.from_arrays([*whole.slice(at, to - at).columns, scores, nested], [*whole.schema.names, "scores", "segmentations"])
         finally:  # the worker lives on, idle or in other steps of its job
             encoder.forget()
-            pa.default_memory_pool().release_unused()
+            return_memory()
 
     schema = T.StructType([*rows.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("segmentations", T.ArrayType(T.ArrayType(T.IntegerType())))])
     return rows.mapInArrow(run, schema)

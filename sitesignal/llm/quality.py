@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.text import code_points, maybe_wanted, packed, unpacked
+from sitesignal.llm.text import code_points, maybe_wanted, packed, pieces_of, returning, unpacked
 from sitesignal.session import stage
 
 BUCKETS = 1 << 16
@@ -38,6 +39,8 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: trusted ids that are broadcast at most, 64 MB in memory
 BROADCAST_IDS = 1_000_000
+#: rows that are Python objects at once
+SLICE_ROWS = 500
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _SYMBOL = np.isin(np.arange(128), [ord(c) for c in SYMBOLS])
@@ -102,7 +105,7 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
+    for batch in pieces_of(batches, SLICE_ROWS):
         for text, raw, trusted in zip(batch["text"].to_pylist(), batch["raw"].to_pylist(), batch["trusted"].to_pylist()):
             own = np.bincount(trigrams(code_points(text)), minlength=BUCKETS)
             for which, of in enumerate((raw, trusted)):
@@ -115,7 +118,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ratios(rows: DataFrame) -> np.ndarray:
     """Log of trusted against raw probability per counter, from ``(text, trusted)`` and maybe ``raw``; at most ``BUCKETS`` rows reach the driver."""
     rows = rows.select("text", "trusted", "raw" if "raw" in rows.columns else F.lit(True).alias("raw"))
-    sums = rows.mapInArrow(_tally, "feature long, raw long, trusted long").groupBy("feature").agg(
+    sums = rows.mapInArrow(returning(_tally), "feature long, raw long, trusted long").groupBy("feature").agg(
         F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums:
@@ -130,16 +133,18 @@ def ratios(rows: DataFrame) -> np.ndarray:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(rows: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """``rows`` must hold ``text``; the other columns pass through, beside the counts, ``base_failed``, ``kept`` and ``score``."""
+def judge(rows: DataFrame, table: np.ndarray, threshold: float = THRESHOLD, text_col: str | None = None) -> DataFrame:
+    """``rows`` must hold ``text``, or a struct ``row`` with the column ``text_col``, which is then sent to Python once; the other
+    columns pass through, beside the counts, ``base_failed``, ``kept`` and ``score``."""
     others = [f for f in rows.schema.fields if f.name != "text"]
+    inside = None if text_col is None else rows.schema["row"].dataType.names.index(text_col)
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in pieces_of(batches, SLICE_ROWS):
             counts, scores = [], []
-            for text in batch["text"].to_pylist():
+            for text in (batch["text"] if inside is None else pc.struct_field(batch["row"], inside)).to_pylist():
                 points = code_points(text or "")
                 counts.append(base_counts(text or "", points))
                 found = trigrams(points)
@@ -153,7 +158,7 @@ def judge(rows: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> D
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), *(f"{c} long" for c in _COUNTS),
                         "base_failed boolean", "kept boolean", "score double"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(returning(run), schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -164,5 +169,6 @@ def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, all columns as they were."""
     table = ratios(trusted_rows(docs, labels, id_col, text_col))
-    judged = judge(packed(docs, text=docs[text_col]), table, threshold)
+    plain = text_col in docs.columns
+    judged = judge(packed(docs) if plain else packed(docs, text=docs[text_col]), table, threshold, text_col if plain else None)
     return unpacked(judged.filter("kept"), docs)

@@ -85,3 +85,20 @@ def test_encoding_tasks_leave_no_words_in_their_worker(monkeypatch):
     assert len(parts) > 5 and [t for p in parts for t in p["text"].to_pylist()] == texts
     encoder = pieces._encoder(path, 2, pieces.ROWS_SHARE)
     assert not encoder.row and not encoder.searched and not encoder.remembered()
+
+
+def test_pipeline_bounds_what_python_holds(spark):
+    """Steps hand rows to Python in bounded batches, and the quality rules send a text once."""
+    import corpus_pipeline
+
+    from sitesignal import session
+    from sitesignal.llm import quality
+
+    seen = corpus_pipeline._tidy(lambda s, docs, sf_dir: [s.conf.get(k, None) for k in (session.BATCH_ROWS, session.BATCH_BYTES)])(spark, None, "")
+    assert seen == [session.RECOMMENDED[session.BATCH_ROWS], str(session.PAGE_BATCH_BYTES)]
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60))), (2, None), (3, "w1 w2")], "doc_id long, text string")
+    kept = quality.keep_good(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert [tuple(r) for r in kept.collect()] == [tuple(docs.first())]
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow run(row" in plan and "text#" not in plan.split("MapInArrow run(row")[1].split("\n")[0], plan
+    assert [r.doc_id for r in quality.keep_good(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), text_col="TEXT").collect()] == [1]
