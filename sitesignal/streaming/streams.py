@@ -224,23 +224,36 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def run_until_idle(query: StreamingQuery, batches: int = 3, timeout_seconds: float = 600.0) -> None:
-    """Wait until so many batches in a row have read nothing, then stop the query.
+def _moved(progress) -> bool:
+    """Whether a batch has taken anything from its sources, be it files without a row."""
+    return progress["numInputRows"] > 0 or any(s["startOffset"] != s["endOffset"] for s in progress["sources"])
+
+
+def run_until_idle(query: StreamingQuery, batches: int = 3, timeout_seconds: float | None = None) -> None:
+    """Wait until so many batches in a row have found nothing to read, then stop the query.
 
     A query with processing-time timers always has another batch to run, so it
-    never counts as having processed all that is available.
+    never counts as having processed all that is available. What it has written
+    is whole when this returns; a query that fails, is stopped by others or,
+    where a time is given, takes longer raises an error.
     """
-    until, quiet, last = time.monotonic() + timeout_seconds, 0, -1
-    while query.isActive and quiet < batches and time.monotonic() < until:
+    until, quiet, last = None if timeout_seconds is None else time.monotonic() + timeout_seconds, 0, -1
+    late = False
+    while query.isActive and quiet < batches and not late:
         time.sleep(0.05)
         for p in query.recentProgress:
             if p["batchId"] > last:
                 last = p["batchId"]
-                quiet = quiet + 1 if p["numInputRows"] == 0 else 0
+                quiet = 0 if _moved(p) else quiet + 1
+        late = until is not None and quiet < batches and time.monotonic() >= until
     failure = query.exception()
     query.stop()
     if failure is not None:
         raise failure
+    if late:
+        raise TimeoutError(f"the query was still reading after {timeout_seconds:g} seconds and {last + 1} batches; its output is not whole")
+    if quiet < batches:
+        raise RuntimeError(f"the query was stopped after {last + 1} batches, before it was idle; its output is not whole")
 
 
 def stream_retry_queue(results: DataFrame, already_retried: DataFrame) -> DataFrame:

@@ -249,6 +249,41 @@ def test_give_up_by_clock(spark, tmp_path):
     assert given_up() == ["new", "stuck"]
 
 
+def test_until_idle_raises_where_the_output_is_not_whole(spark, tmp_path):
+    """By the clock a query is never done, so it has to be told apart from one that was cut off."""
+    rows = [("stuck", "started")]
+    spark.createDataFrame(rows, "input_url string, kind string").write.parquet(str(tmp_path / "progress/b0"))
+    source = lambda: spark.readStream.schema("input_url string, kind string").parquet(str(tmp_path / "progress/b*"))
+
+    def start(n):
+        with streams.rocksdb_state(spark):
+            writer = streams.stream_give_up_by_clock(source(), 0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"cp{n}"))
+            return writer.start(str(tmp_path / f"out{n}"))
+
+    query = start(0)
+    with pytest.raises(TimeoutError, match="not whole"):
+        streams.run_until_idle(query, timeout_seconds=0)
+    assert not query.isActive
+    query = start(1)
+    query.stop()
+    with pytest.raises(RuntimeError, match="before it was idle"):
+        streams.run_until_idle(query)
+
+
+def test_until_idle_reads_past_files_without_rows(spark, tmp_path):
+    """Four batches of an empty file each come before the one with rows."""
+    schema = "input_url string, kind string"
+    for n, rows in enumerate([[], [], [], [], [("stuck", "started")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"progress/b{n}"))
+        for part in (tmp_path / f"progress/b{n}").glob("part-*"):
+            os.utime(part, (1_700_000_000 + n, 1_700_000_000 + n))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "progress/b*"))
+    with streams.rocksdb_state(spark):
+        writer = streams.stream_give_up_by_clock(source, 0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        streams.run_until_idle(writer.start(str(tmp_path / "out")))
+    assert [r.input_url for r in spark.read.schema(streams.GIVE_UP_OUTPUT).parquet(str(tmp_path / "out")).collect()] == ["stuck"]
+
+
 def test_line_numbers_over_files_and_blocks(spark, tmp_path):
     lines = [f"site{i}.io, x" if i % 3 else "# none" for i in range(500)]
     for k in range(4):
