@@ -3,7 +3,9 @@
 Each stage reads what the stage before it wrote, works on all of it, and its
 decisions take effect in the rows it returns. What a stage staged for itself is
 deleted when the next one begins, since its result has been written by then.
-What a stage computes on its way reaches Python in batches bounded in rows and bytes.
+What a stage computes reaches Python in batches bounded in rows and bytes, and is written in
+bounded pages and row groups. The rows that a stage returns are computed after it has returned,
+so it leaves the options for that set on the session; ``run`` restores them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sitesignal.llm import exact_dedup, mixing, near_dedup, pieces, quality
 from sitesignal.llm.queries import tokenizer_file
-from sitesignal.session import page_batches, release, stage, staging_group
+from sitesignal.session import keep_long_rows_bounded, long_rows, page_batches, release, stage, staging_group
 
 GROUP = "corpus-pipeline"
 
@@ -49,6 +51,7 @@ def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _tidy(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, GROUP)
+        keep_long_rows_bounded(spark)
         with staging_group(GROUP), page_batches(spark):
             return step(spark, docs, sf_dir)
 
@@ -69,7 +72,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+    with long_rows(spark):
+        for name, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir), name)
     release(spark, GROUP)
     return docs

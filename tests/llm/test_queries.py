@@ -87,6 +87,33 @@ def test_encoding_tasks_leave_no_words_in_their_worker(monkeypatch):
     assert not encoder.row and not encoder.searched and not encoder.remembered()
 
 
+def test_pipeline_bounds_what_its_last_step_holds(spark, tmp_path):
+    """The rows of a stage are computed and written after it has returned: in small batches, and in row groups that end before 100 long rows are held."""
+    import corpus_pipeline
+    import pyarrow.parquet as pq
+
+    from sitesignal import session
+
+    names = [*session.LONG_ROWS]
+    before = {k: spark.conf.get(k, None) for k in names}
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k}" for k in range(4000)), "en", "a") for i in range(20)], "doc_id long, text string, lang string, source string").coalesce(1)
+    try:
+        for k in names:
+            spark.conf.unset(k)
+        spark.conf.set("parquet.block.size", str(1 << 16))
+        dict(corpus_pipeline.STAGES)["piece_encoding"](spark, docs, "").write.parquet(str(tmp_path / "out"))
+        assert [spark.conf.get(k) for k in names] == [session.RECOMMENDED[session.BATCH_ROWS], str(session.PAGE_BATCH_BYTES), "1", str(1 << 16)]
+        (part,) = (tmp_path / "out").glob("*.parquet")
+        assert pq.ParquetFile(part).metadata.num_row_groups >= 5
+        spark.conf.unset("parquet.block.size")
+        with session.long_rows(spark):
+            assert spark.conf.get("parquet.block.size") == session.LONG_ROWS["parquet.block.size"]
+        assert spark.conf.get("parquet.block.size", None) is None
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_pipeline_bounds_what_python_holds(spark):
     """Steps hand rows to Python in bounded batches, and the quality rules send a text once."""
     import corpus_pipeline
